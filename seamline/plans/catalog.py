@@ -2,5 +2,18 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from seamline.session import read_table as t
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from seamline.sources.commentary_lines import rejects
+
+    return rejects(t(spark, d, "kaggle_commentary"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found}
+ORACLE: dict[str, str] = {}
