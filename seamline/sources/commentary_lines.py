@@ -143,9 +143,9 @@ def _width_ok() -> Column:
 
 
 def strict_load(lines: DataFrame) -> DataFrame:
-    """The conforming lines only: (line_id, feed, file_name, file_seq, line_no, names, f)."""
+    """The conforming lines only: (line_id, feed, file_name, file_seq, line_no, names, f, at_pos, at_total, at_kind)."""
     good = F.col("strict") & _width_ok() & _ball_ok() & _total_ok() & _kind_ok()
-    return _judged(lines).filter(good).select("line_id", "feed", "file_name", "file_seq", "line_no", "names", "f")
+    return _judged(lines).filter(good).select("line_id", "feed", "file_name", "file_seq", "line_no", "names", "f", "at_pos", "at_total", "at_kind")
 
 
 def rejects(lines: DataFrame) -> DataFrame:
