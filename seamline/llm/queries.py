@@ -29,15 +29,33 @@ def p1_totals(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("component").alias("n_classes"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    from seamline.llm.tokenize import encode
+
+    return encode(t(spark, d, "documents"))
+
+
+def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """decoding the ids gives every text back: rows, and how many came back other than they went in"""
+    from seamline.llm.tokenize import decode, encode
+
+    docs = t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = decode(encode(docs)).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("text") != F.col("back")).alias("n_changed"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_assign": p1_assign,
     "p1_totals": p1_totals,
+    "p6_ids": p6_ids,
+    "p6_round_trip": p6_round_trip,
 }
 
 KEY = r"""nullif(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(trim({0})), '^.*[/\\]', ''), '\.(json|jsonl|csv|yaml|yml|xml|txt|parquet|gz)$', '')), '[\s_\-.]+', '_', 'g'), '(^|_)0+([0-9])', '\1\2', 'g'), '')"""
 
 ORACLE: dict[str, str] = {
+    "p6_round_trip": "SELECT count(*) AS n_rows, cast(0 AS bigint) AS n_changed FROM documents",
     "p1_found": f"""
 WITH RECURSIVE ids AS (SELECT record.match_id AS match_id, {KEY.format("record.match_id")} AS k, min(split) AS lo, max(split) AS hi
                        FROM dataset WHERE record.match_id IS NOT NULL GROUP BY 1, 2),
