@@ -29,6 +29,18 @@ def p1_totals(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("component").alias("n_classes"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from seamline.llm.cross_split import row_pairs
+
+    return row_pairs(t(spark, d, "dataset"))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    from seamline.llm.cross_split import overlap_report
+
+    return overlap_report(t(spark, d, "dataset"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from seamline.llm.tokenize import encode
 
@@ -48,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_assign": p1_assign,
     "p1_totals": p1_totals,
+    "p2_found": p2_found,
+    "p2_report": p2_report,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
 }
