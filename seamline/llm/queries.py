@@ -56,6 +56,18 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.join(back, "doc_id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("text") != F.col("back")).alias("n_changed"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from seamline.llm.leakage import leaks
+
+    return leaks(t(spark, d, "documents"), t(spark, d, "heldout_items"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    from seamline.llm.leakage import leak_report
+
+    return leak_report(t(spark, d, "documents"), t(spark, d, "heldout_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_assign": p1_assign,
@@ -64,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_report": p2_report,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
+    "p7_found": p7_found,
+    "p7_report": p7_report,
 }
 
 KEY = r"""nullif(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(trim({0})), '^.*[/\\]', ''), '\.(json|jsonl|csv|yaml|yml|xml|txt|parquet|gz)$', '')), '[\s_\-.]+', '_', 'g'), '(^|_)0+([0-9])', '\1\2', 'g'), '')"""
