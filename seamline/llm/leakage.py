@@ -32,7 +32,7 @@ BAND = 64
 #: the share of an item's words that must be there, in at most two stretches, and of a stretch's words that must agree
 COVER, AGREE = 0.5, 0.75
 #: the share of an item's q-grams left when half of it is there and one word in ten is changed, with room
-KEPT = 0.22
+KEPT = 0.15
 
 _BROKEN = re.compile(r"([^\W\d_])-[ \t]*\n[ \t>|*]*(?=[^\W\d_])")
 _QUOTED = re.compile(r"^[ \t]*[>|*]+[ \t]?", re.M)

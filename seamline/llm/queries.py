@@ -68,6 +68,18 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leak_report(t(spark, d, "documents"), t(spark, d, "heldout_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from seamline.llm.truncation import truncated
+
+    return truncated(t(spark, d, "documents"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    from seamline.llm.truncation import source_report
+
+    return source_report(t(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_assign": p1_assign,
@@ -78,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_round_trip": p6_round_trip,
     "p7_found": p7_found,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
 }
 
 KEY = r"""nullif(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower(trim({0})), '^.*[/\\]', ''), '\.(json|jsonl|csv|yaml|yml|xml|txt|parquet|gz)$', '')), '[\s_\-.]+', '_', 'g'), '(^|_)0+([0-9])', '\1\2', 'g'), '')"""
