@@ -41,6 +41,18 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(t(spark, d, "dataset"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from seamline.llm.pairs import defects
+
+    return defects(t(spark, d, "generations"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    from seamline.llm.pairs import defect_report
+
+    return defect_report(t(spark, d, "generations"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from seamline.llm.tokenize import encode
 
@@ -86,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_totals": p1_totals,
     "p2_found": p2_found,
     "p2_report": p2_report,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_ids": p6_ids,
     "p6_round_trip": p6_round_trip,
     "p7_found": p7_found,

@@ -83,6 +83,8 @@ def judged(docs: DataFrame) -> DataFrame:
         name = F.col("s1").isin("1 Aa", "1 A")
         # names and numbers say little by themselves: the sentence's first word does ('Umpires: ...', 'Att: ...')
         by_head = F.when((name | (F.col("s1") == "1 0")) & (F.col("m4") >= 4), F.col("f4") / F.col("m4"))
+        # a capital may be a name or the start of a sentence: a frequent word speaks for itself
+        by_words = F.when((F.col("s1") == "1 Aa") & (F.col("m0") >= 20), F.col("f0") / F.col("m0")).otherwise(by_words)
         y = y.withColumn("rate", F.greatest(by_words, by_head))
         new = F.col("m0") == 0
         y = y.withColumn("unfinished", (F.col("rate") < 0.02) | (new & (F.col("rate") < 0.03)) | (new & ~name & ~F.col("s1").startswith("1 0")))
