@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seamline.plans import ball_queries
 from seamline.session import read_table as t
 
 
@@ -38,5 +39,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_commentary": p3_commentary,
     "p3_runs": p3_runs,
     "p4_found": p4_found,
+    **ball_queries.QUERIES,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {**ball_queries.ORACLE}
