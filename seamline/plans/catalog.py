@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.plans import ball_queries, text_queries
+from seamline.plans import ball_queries, eval_queries, text_queries
 from seamline.session import read_table as t
 
 
@@ -41,5 +41,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     **ball_queries.QUERIES,
     **text_queries.QUERIES,
+    **eval_queries.QUERIES,
 }
-ORACLE: dict[str, str] = {**ball_queries.ORACLE, **text_queries.ORACLE}
+ORACLE: dict[str, str] = {**ball_queries.ORACLE, **text_queries.ORACLE, **eval_queries.ORACLE}
