@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamline.plans import ball_queries, eval_queries, text_queries
+from seamline.plans import ball_queries, eval_queries, source_queries, text_queries
 from seamline.session import read_table as t
 
 
@@ -42,5 +42,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **ball_queries.QUERIES,
     **text_queries.QUERIES,
     **eval_queries.QUERIES,
+    **source_queries.QUERIES,
 }
-ORACLE: dict[str, str] = {**ball_queries.ORACLE, **text_queries.ORACLE, **eval_queries.ORACLE}
+ORACLE: dict[str, str] = {**ball_queries.ORACLE, **text_queries.ORACLE, **eval_queries.ORACLE, **source_queries.ORACLE}
