@@ -20,8 +20,8 @@ def ngrams(t: Column, n: int) -> Column:
 
 def distinct_by_group(df: DataFrame, text: str, group: list[str], n: int) -> DataFrame:
     """(group..., grams, distinct_grams, ratio): pooled over the group's texts. Two hash aggregations, the first with partials."""
-    g = df.select(*group, F.explode(ngrams(tokens(F.col(text)), n)).alias("g")).groupBy(*group, "g").agg(F.count("*").alias("c"))
-    return g.groupBy(*group).agg(F.sum("c").alias("grams"), F.count("*").alias("distinct_grams"), (F.count("*") / F.sum("c")).alias("ratio"))
+    g = df.select(*group, F.explode(ngrams(tokens(F.col(text)), n)).alias("__gram")).groupBy(*group, "__gram").agg(F.count("*").alias("__c"))
+    return g.groupBy(*group).agg(F.sum("__c").alias("grams"), F.count("*").alias("distinct_grams"), (F.count("*") / F.sum("__c")).alias("ratio"))
 
 
 def distinct_mean(df: DataFrame, text: str, group: list[str], n: int) -> DataFrame:
@@ -33,11 +33,12 @@ def repetition(df: DataFrame, text: str, group: list[str], order: list[str], n:
     """(pairs, repeated, rate) over consecutive texts: equal token lists repeat; pairs with a text shorter than n
     are left out; others repeat if they share an n-gram."""
     w = Window.partitionBy(*group).orderBy(*order)
-    d = df.select(*group, *order, tokens(F.col(text)).alias("t"))
-    d = d.withColumn("p", F.lag("t").over(w)).filter("p IS NOT NULL")
-    same = F.col("t") == F.col("p")
-    long = (F.size("t") >= n) & (F.size("p") >= n)
-    hit = same | (long & F.arrays_overlap(ngrams(F.col("t"), n), ngrams(F.col("p"), n)))
+    d = df.select(*group, *order, tokens(F.col(text)).alias("__t"))
+    d = d.withColumn("__p", F.lag("__t").over(w)).filter("__p IS NOT NULL")
+    t, p = F.col("__t"), F.col("__p")
+    same = t == p
+    long = (F.size(t) >= n) & (F.size(p) >= n)
+    hit = same | (long & F.arrays_overlap(ngrams(t, n), ngrams(p, n)))
     d = d.filter(same | long).agg(F.count("*").alias("pairs"), F.count_if(hit).alias("repeated"))
     return d.withColumn("rate", F.try_divide("repeated", "pairs"))
 

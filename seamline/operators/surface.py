@@ -40,7 +40,7 @@ def bleu_counts(df: DataFrame, text: str, reference: str, group: list[str] | Non
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for h, r in zip(b["h"], b["r"]):
+            for h, r in zip(b["__h"], b["__r"]):
                 h, r = list(h), list(r)
                 row = [len(h), len(r)]
                 for n in range(1, 5):
@@ -49,7 +49,7 @@ def bleu_counts(df: DataFrame, text: str, reference: str, group: list[str] | Non
             got = pd.DataFrame(rows, columns=names)
             yield pd.concat([b[group].reset_index(drop=True), got], axis=1).groupby(group, dropna=False, as_index=False).sum() if group else got.sum().to_frame().T
 
-    d = df.select(*group, tokens_13a(F.col(text)).alias("h"), tokens_13a(F.col(reference)).alias("r"))
+    d = df.select(*group, tokens_13a(F.col(text)).alias("__h"), tokens_13a(F.col(reference)).alias("__r"))
     schema = ", ".join([*[f"{g} {types[g]}" for g in group], *[f"{n} long" for n in names]])
     return d.mapInPandas(run, schema).groupBy(*group).agg(*[F.sum(n).alias(n) for n in names])
 

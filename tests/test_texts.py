@@ -57,7 +57,7 @@ def test_excitement_saturates(spark):
 
 CASES = [
     ("No run, pushed to cover", []),
-    ("That is six over long-on", [("boundary", 6)]),
+    ("That is six, over long-on", [("boundary", 6)]),
     ("They need six from the last over", []),
     ("Six wides in the over", [("extras", 6)]),
     ("not a single run", []),
