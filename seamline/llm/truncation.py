@@ -54,9 +54,11 @@ def judged(docs: DataFrame) -> DataFrame:
     total = f.groupBy("source").agg(F.count("*").alias("docs"), F.max("len").alias("len"), F.max("bytes").alias("bytes"))
     x = f
     for m, name in (("len", "limit"), ("bytes", "byte_limit")):
-        at = f.groupBy("source", m).agg(F.count("*").alias("c"), F.count_if(~F.col("ended")).alias("u")).alias("b")
-        top = at.join(total.alias("t"), F.expr(f"b.source <=> t.source AND b.{m} = t.{m}"))
-        piled = (F.col("c") >= 3) & (F.col("c") > 0.02 * F.col("docs")) & (F.col("u") > 0.5 * F.col("c"))
+        at = f.groupBy("source", m).agg(F.count("*").alias("c"), F.count_if(~F.col("ended")).alias("u"))
+        kinds = at.groupBy(F.col("source").alias("src")).agg(F.count("*").alias("kinds"))
+        top = at.alias("b").join(total.alias("t"), F.expr(f"b.source <=> t.source AND b.{m} = t.{m}")).join(kinds, F.expr("t.source <=> src")).drop("src")
+        usual = (F.col("docs") - F.col("c")) / F.greatest(F.col("kinds") - 1, F.lit(1))  # texts of any other length
+        piled = (F.col("c") >= 3) & (F.col("c") > 0.02 * F.col("docs")) & (F.col("u") > 0.5 * F.col("c")) & (F.col("c") > 4 * usual)
         top = top.select(F.col("t.source").alias("src"), F.when(piled, F.col(f"t.{m}")).alias(name), *([F.col("t.docs").alias("docs")] if m == "len" else []))
         x = x.join(top, F.expr("source <=> src"), "left").drop("src")
     open_ = x.filter("NOT ended")
@@ -96,7 +98,7 @@ def judged(docs: DataFrame) -> DataFrame:
     # first by the corpus alone; the sources that then look whole may say which ends are usual
     rough = rated(open_, none)
     share = rough.filter(~at_limit).groupBy("source").agg(F.count_if("unfinished").alias("u"), F.count_if(F.col("broken")).alias("b"), F.max("docs").alias("docs"), F.max(F.coalesce("limit", "byte_limit")).alias("limit"))
-    clean = cut(share.filter("limit IS NULL AND b <= 0.001 * docs").select(F.col("source").alias("src")), "clean")
+    clean = cut(share.filter("limit IS NULL AND b <= greatest(1, 0.001 * docs)").select(F.col("source").alias("src")), "clean")
     x = cut(rated(open_, clean), "judged")
     base = x.groupBy("source").agg((F.count_if(F.col("unfinished") & ~at_limit) / F.max("docs")).alias("base")).withColumnRenamed("source", "src")
     x = x.join(base, F.expr("source <=> src"), "left").drop("src")
