@@ -18,11 +18,14 @@ INTENSIFIERS = [
 def parts(text: Column) -> dict[str, Column]:
     """bangs; phrase hits, each phrase counted by itself; words of 3 or more letters in capitals. Words are runs of A-Z."""
     words = F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
-    low = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+|[^a-z0-9_\s]"), F.lit(0)), "  "), F.lit(" "))
-    hits = [F.regexp_count(low, F.lit(" " + "  ".join(p.split()) + " ")) for p in INTENSIFIERS]
-    total = hits[0]
-    for h in hits[1:]:
-        total = total + h
+    low = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_]+|[^a-z0-9_\s]"), F.lit(0))
+    # single words cannot overlap, so one pass over the words counts them all; phrases are counted one by one
+    singles = [p for p in INTENSIFIERS if " " not in p]
+    total = F.size(F.filter(low, lambda w: w.isin(singles)))
+    line = F.concat(F.lit(" "), F.array_join(low, "  "), F.lit(" "))
+    for p in INTENSIFIERS:
+        if " " in p:
+            total = total + F.regexp_count(line, F.lit(" " + "  ".join(p.split()) + " "))
     return {
         "bangs": F.regexp_count(text, F.lit("!")),
         "intensifiers": total,

@@ -6,26 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_ranks(df: DataFrame, x: str, group: list[str], name: str) -> DataFrame:
-    """Ties share the mean of their ranks. Values are counted first, so a rank is a running sum over distinct
-    values: neither ties nor repeated rows are sorted one by one."""
-    counts = df.filter(F.col(x).isNotNull()).groupBy(*group, x).agg(F.count("*").alias("__c"))
+def _ranks(pairs: DataFrame, x: str, group: list[str], name: str) -> DataFrame:
+    """(group..., x, name): the mean rank of each distinct value; ties share it. A rank is a running sum over distinct
+    values, so neither ties nor repeated rows are sorted one by one."""
+    counts = pairs.groupBy(*group, x).agg(F.sum("__c").alias("__k"))
     w = Window.partitionBy(*group).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*group, x, (F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / 2).alias(name))
-    return df.join(ranks, [*group, x])
+    return counts.select(*group, x, (F.coalesce(F.sum("__k").over(w), F.lit(0)) + (F.col("__k") + 1) / 2.0).alias(name))
 
 
 def spearman(df: DataFrame, x: str, y: str, group: list[str] | None = None) -> DataFrame:
-    """(group..., n, rho): rank correlation within each group; null below 3 rows or where a side is constant."""
-    group = group or []
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y)
+    """(group..., n, rho): rank correlation within each group; null below 3 rows or where a side is constant.
+
+    Rows are first counted by their pair of values: x and y are computed once, and a frequent value is one row."""
     key = group or ["__one"]
-    if not group:
-        d = d.withColumn("__one", F.lit(1))
-    d = average_ranks(average_ranks(d, x, key, "__rx"), y, key, "__ry")
-    rho = F.try_divide(F.covar_pop("__rx", "__ry"), F.stddev_pop("__rx") * F.stddev_pop("__ry"))
-    out = d.groupBy(*key).agg(F.count("*").alias("n"), F.when(F.count("*") >= 3, rho).alias("rho"))
-    return out.select(*group, "n", "rho")
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = d.select(*[F.col(g) for g in group or []], F.col(x).alias("__x"), F.col(y).alias("__y"))
+    d = d if group else d.withColumn("__one", F.lit(1))
+    pairs = d.groupBy(*key, "__x", "__y").agg(F.count("*").alias("__c"))
+    r = pairs.join(_ranks(pairs, "__x", key, "__rx"), [*key, "__x"]).join(_ranks(pairs, "__y", key, "__ry"), [*key, "__y"])
+    c, rx, ry = F.col("__c"), F.col("__rx"), F.col("__ry")
+    s = r.groupBy(*key).agg(F.sum("__c").alias("n"), F.sum(c * rx * ry).alias("xy"), F.sum(c * rx * rx).alias("xx"), F.sum(c * ry * ry).alias("yy"))
+    mean = (F.col("n") + 1) / 2.0
+    cov = lambda k: F.col(k) / F.col("n") - mean * mean
+    flat = (cov("xx") <= 1e-9 * mean * mean) | (cov("yy") <= 1e-9 * mean * mean)
+    rho = F.when((F.col("n") >= 3) & ~flat, F.try_divide(cov("xy"), F.sqrt(F.greatest(cov("xx"), F.lit(0.0))) * F.sqrt(F.greatest(cov("yy"), F.lit(0.0)))))
+    return s.select(*(group or []), "n", rho.alias("rho"))
 
 
 def percentiles(df: DataFrame, x: str) -> DataFrame:

@@ -14,6 +14,12 @@ def strip_html(spark, d):
     return t(spark, d, "documents").select("doc_id", rules.strip_html(F.col("text")).alias("text"))
 
 
+def strip_html_full(spark, d):
+    from seamline.functions.html import strip_html as full
+
+    return t(spark, d, "documents").select("doc_id", full(F.col("text")).alias("text"))
+
+
 def reason_counts(spark, d):
     got = texts.clean(t(spark, d, "dataset")).groupBy(F.coalesce("drop_reason", F.lit("kept")).alias("reason"))
     return got.agg(F.count("*").alias("n"))
@@ -158,6 +164,7 @@ def _micro(c: str) -> str:
 
 QUERIES = {
     "clean_strip_html": strip_html,
+    "clean_strip_html_full": strip_html_full,
     "clean_reason_counts": reason_counts,
     "clean_dedup_first": dedup_first,
     "split_by_group": split_by_group,

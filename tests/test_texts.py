@@ -145,6 +145,13 @@ def test_run_leaves_and_rollup(spark):
     assert (r.seeds, r.x_mean, r.system) == (2, 1.0, "t") and abs(r.x_std - 0.70710678) < 1e-6
 
 
+def test_entities_in_full(spark):
+    from seamline.functions import html
+
+    d = spark.createDataFrame([("a&eacute;&#8211;b <b>c</b>\u00a0d ",), (None,), ("",), ("&amp;lt;",)], "t string")
+    assert [r.x for r in d.select(html.strip_html(F.col("t")).alias("x")).collect()] == ["aé–b c d", None, "", "&lt;"]
+
+
 def test_chat_roles(spark):
     m = spark.range(1).select(generate.chat(F.lit("x"), F.lit("y")).alias("m")).first().m
     assert [t.role for t in m] == ["system", "user", "assistant"]
