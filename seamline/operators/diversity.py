@@ -20,7 +20,9 @@ def ngrams(t: Column, n: int) -> Column:
 
 def distinct_by_group(df: DataFrame, text: str, group: list[str], n: int) -> DataFrame:
     """(group..., grams, distinct_grams, ratio): pooled over the group's texts. Two hash aggregations, the first with partials."""
-    g = df.select(*group, F.explode(ngrams(tokens(F.col(text)), n)).alias("__gram")).groupBy(*group, "__gram").agg(F.count("*").alias("__c"))
+    # the tokens are a column of their own: written in place they would be computed again for every n-gram
+    t = df.select(*group, tokens(F.col(text)).alias("__t"))
+    g = t.select(*group, F.explode(ngrams(F.col("__t"), n)).alias("__gram")).groupBy(*group, "__gram").agg(F.count("*").alias("__c"))
     return g.groupBy(*group).agg(F.sum("__c").alias("grams"), F.count("*").alias("distinct_grams"), (F.count("*") / F.sum("__c")).alias("ratio"))
 
 

@@ -8,13 +8,14 @@ from seamline.functions import rules
 from seamline.operators import factcheck, generate, harness, runs, sampling, surface
 from seamline.plans.ball_queries import KS
 from seamline.session import read_table as t
+from seamline.session import spread
 
 KEY = KS.split(", ")
 PATHS = {"hallucination": "faithfulness.hallucination_rate", "omission": "faithfulness.omission_rate", "rho": "excitement.rho", "bleu": "surface.bleu", "p50": "latency.p50_ms"}
 
 
 def _checked(spark, d):
-    return factcheck.check(t(spark, d, "dataset").select("row_id", "record", "target_commentary"), "target_commentary")
+    return factcheck.check(spread(t(spark, d, "dataset").select("row_id", "record", "target_commentary")), "target_commentary")
 
 
 def claims_by_slot(spark, d):
@@ -46,7 +47,7 @@ def templates(spark, d):
 
 def template_faithful(spark, d):
     """templates state only what the record holds: none may be a hallucination"""
-    ds = t(spark, d, "dataset").select("row_id", "record", "features")
+    ds = spread(t(spark, d, "dataset").select("row_id", "record", "features"))
     line = generate.template(lambda c: F.col("record." + c), lambda c: F.col("features." + c))
     x = factcheck.check(ds.withColumn("line", line), "line")
     return x.agg(F.count("*").alias("n_rows"), F.count_if(F.size("violations") > 0).alias("n_hallucinated"))
