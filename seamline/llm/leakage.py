@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from seamline.llm.texts import TAG
+from seamline.session import spread
 
 Q = 8
 BAND = 64
@@ -233,7 +234,7 @@ def leaks(docs: DataFrame, items: DataFrame, block_chars: int = 4_000_000, share
                             rows.append((index.ids[i], ids[lo + d], share))
                     yield pd.DataFrame(rows, columns=["item_id", "doc_id", "share"])
 
-        got = docs.select("doc_id", "text").filter("length(trim(text)) > 0").mapInPandas(run, schema)
+        got = spread(docs.select("doc_id", "text").filter("length(trim(text)) > 0")).mapInPandas(run, schema)
         out = got if out is None else out.unionByName(got)
     return out if shares else out.select("item_id", "doc_id")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.endings import TOKEN, end_of, is_terminated, is_word, plain, sequence_counts
-from seamline.session import cut
+from seamline.session import cut, spread
 
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 
@@ -134,7 +134,7 @@ class Field:
                 mask[i, j] = True
         return x, mask
 
-    def fit(self, seqs: list[list[list[int]]], tags: list[list[int]], rounds: int = 200, rate: float = 0.1, l2: float = 1e-3) -> Field:
+    def fit(self, seqs: list[list[list[int]]], tags: list[list[int]], rounds: int = 120, rate: float = 0.1, l2: float = 1e-3) -> Field:
         x, mask = self._matrix(seqs, len(self.w))
         y = np.zeros(mask.shape, int)
         for i, s in enumerate(tags):
@@ -376,7 +376,7 @@ def _cut_name(text: str, source: str | None) -> bool:
 
 def defects(generations: DataFrame, train_rows: int = 2000) -> DataFrame:
     """generations(gen_id, linearized_input, reference, generation) -> (gen_id, defect) of the defective pairs"""
-    g = generations.select("gen_id", "linearized_input", "reference", "generation")
+    g = spread(generations.select("gen_id", "linearized_input", "reference", "generation"))
     refs = g.filter("length(reference) > 0").select("reference").distinct()
     counts = cut(sequence_counts(refs, "reference"), "sequences")
     words = vocabulary(refs)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.endings import BROKEN, end_of, is_terminated, resolved, sequence_counts, unclosed
-from seamline.session import cut
+from seamline.session import cut, spread
 
 SCHEMA = "doc_id long, source string, len int, bytes int, h long, ended boolean, broken boolean, open int, s0 string, s1 string, s2 string, s3 string, s4 string"
 
@@ -42,7 +42,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     d = docs.filter("text IS NOT NULL AND length(trim(text)) > 0").select("doc_id", "source", "text", F.xxhash64("text").alias("h"))
-    return d.mapInPandas(run, SCHEMA)
+    return spread(d).mapInPandas(run, SCHEMA)
 
 
 def judged(docs: DataFrame) -> DataFrame:
