@@ -80,6 +80,28 @@ def results_table(rollup: DataFrame, metrics: list[str], tex: bool = False) -> s
     return "\n".join(out + [f"| {r['base']} | {r['system']} | " + " | ".join(cell(r, m) for m in metrics) + " |" for r in rows]) + "\n"
 
 
+def examples_table(rows: DataFrame, category: str, order: list[str], columns: list[str], k: int = 2, tex: bool = False) -> str:
+    """The first k rows of each category side by side, as Markdown or LaTeX."""
+    from seamline.operators.sampling import per_category
+
+    got = per_category(rows, category, order, k).orderBy(category, *order).limit(10_000).collect()
+    names = [category, *columns]
+    if tex:
+        esc = lambda x: "" if x is None else str(x).replace("\\", r"\textbackslash{}").replace("_", r"\_").replace("&", r"\&").replace("%", r"\%").replace("#", r"\#")
+        body = "\n".join(" & ".join(esc(r[c]) for c in names) + r" \\" for r in got)
+        return "\\begin{tabular}{" + "l" * len(names) + "}\n" + " & ".join(map(esc, names)) + " \\\\ \\hline\n" + body + "\n\\end{tabular}\n"
+    cell = lambda x: "" if x is None else str(x).replace("|", r"\|").replace("\n", " ")
+    return "\n".join(["| " + " | ".join(names) + " |", "|" + "-|" * len(names), *["| " + " | ".join(cell(r[c]) for c in names) + " |" for r in got]]) + "\n"
+
+
+def guard_long_run(rows: int, probed_rows: int, probed_seconds: float, passes: int = 2, most_minutes: float = 30.0) -> float:
+    """Minutes a generator would take over all rows, by a probe of a few; raises beyond the limit."""
+    minutes = rows * passes * probed_seconds / max(probed_rows, 1) / 60
+    if minutes > most_minutes:
+        raise RuntimeError(f"about {minutes:.0f} minutes over {rows} rows, more than {most_minutes:.0f}")
+    return minutes
+
+
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
     """(run_dir, body) of every <dir>/metrics.json under root; no root, or none in it, gives no rows."""
     local = root.removeprefix("file://")

@@ -126,6 +126,16 @@ def test_files(spark, tmp_path):
     assert files.write_stats(spark.createDataFrame([(3,)], "n int"), str(tmp_path / "s.json")) == {"n": 3}
 
 
+def test_examples_and_guard(spark):
+    d = spark.createDataFrame([(1, "four", "a|b"), (2, "four", "c"), (3, "four", "d"), (4, "dot", None)], "k int, what string, text string")
+    md = files.examples_table(d, "what", ["k"], ["text"])
+    assert md.count("| four |") == 2 and "a\\|b" in md and "| dot |  |" in md
+    assert "\\begin{tabular}{ll}" in files.examples_table(d, "what", ["k"], ["text"], tex=True)
+    assert files.guard_long_run(300, 3, 0.3) == 1.0
+    with pytest.raises(RuntimeError):
+        files.guard_long_run(10_000, 3, 3.0)
+
+
 def test_config(tmp_path):
     (tmp_path / "a.yaml").write_text("x: {y: 1, z: 2}\n")
     (tmp_path / "b.yaml").write_text("extends: a.yaml\nx: {y: 3}\n")
