@@ -22,6 +22,10 @@ ENTITY = re.compile(r"&(?:#x?[0-9a-fA-F]+|[a-zA-Z]+);")
 MARK = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^<>]*?(/?)>")
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr"}
 TERMINATED = re.compile(r"[.!?…।。？！]['\"”’»)\]}*_\s]*$")
+#: markup, signs and hearts behind the end
+BEHIND = re.compile(r"(?:</?[a-zA-Z][^<>]*>|[\s‍️☀-➿\U0001f000-\U0001faff])+$")
+#: a closing ellipsis, bare or in brackets, marks an open end; behind a quote that is closed it is the author's
+ELLIPSIS = re.compile(r"\s*(?:[\[(]\s*(?:…|\.{3,})\s*[\])]|…|\.{3,})\s*$")
 BROKEN = re.compile(r"(?:�+|&#?[a-zA-Z0-9]{0,8}|<(?:[/!a-zA-Z][^<>]{0,200})?|\\u[0-9a-fA-F]{0,3}|\\x[0-9a-fA-F]?|\\|%[0-9A-Fa-f]|[,;(\[{])$")
 
 
@@ -54,13 +58,24 @@ def resolved(text: str) -> str:
     """entities as their characters or a place holder, trailing blanks off"""
     if "&" in text:
         text = text.replace("&quot;", '"').replace("&#39;", "'").replace("&#x27;", "'").replace("&amp;", "&")
+        text = text.replace("&hellip;", "…").replace("&#8230;", "…").replace("&#x2026;", "…")
         text = ENTITY.sub("-", text)
     return text.rstrip()
 
 
+def unmarked(text: str) -> tuple[str, bool]:
+    """(resolved, without the ellipsis at its end and the markup and signs behind that; whether there was one)"""
+    s = resolved(text)
+    if "…" not in s and "..." not in s:
+        return s, False
+    bare = BEHIND.sub("", s)
+    m = ELLIPSIS.search(bare)
+    return (bare[: m.start()], True) if m else (s, False)
+
+
 def plain(text: str) -> str:
-    """resolved, markup as blanks, a broken end off: only words and ends matter here"""
-    text = BROKEN.sub("", resolved(text))
+    """resolved, markup as blanks, a mark of omission and a broken end off: only words and ends matter here"""
+    text = BROKEN.sub("", unmarked(text)[0])
     if "<" in text:
         text = re.sub(r"<(?:br|p|div|li)\s*/?>", "\n", text)
         text = re.sub(r"</?[a-zA-Z][^<>]*>", " ", text)
@@ -100,8 +115,10 @@ def unclosed(text: str) -> list[str]:
 
 
 def is_terminated(text: str) -> bool:
-    """ends in a terminator, behind which quotes, brackets, markup, signs and hearts may follow"""
-    s = re.sub(r"(?:</?[a-zA-Z][^<>]*>|[\s‍️☀-➿\U0001f000-\U0001faff])+$", "", text)
+    """ends in a terminator, behind which quotes, brackets, markup, signs and hearts may follow; a closing ellipsis is none"""
+    if unmarked(text)[1]:
+        return False
+    s = BEHIND.sub("", text)
     s = plain(s)
     return bool(TERMINATED.search(s))
 

@@ -9,6 +9,9 @@ when it ends without terminator and
   * at the length limit of its source, or
   * in a sequence that goes on elsewhere (or a word met nowhere else), weighed by the source's baseline.
 
+A closing ellipsis ('…', '...', '[…]') is an open end: what stands before it is judged, its length is that
+of the text with the mark, as the limit counts it.
+
 Defined results: null and blank texts and texts without a word are not cut; an ended sentence is
 whole even where markup is left open; repeated texts are judged alike and each comes out; a null
 source is a source of its own.
@@ -22,10 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.endings import BROKEN, end_of, is_terminated, resolved, sequence_counts, unclosed
+from seamline.llm.endings import BROKEN, end_of, is_terminated, sequence_counts, unclosed, unmarked
 from seamline.session import cut, spread
 
-SCHEMA = "doc_id long, source string, len int, bytes int, h long, ended boolean, broken boolean, open int, s0 string, s1 string, s2 string, s3 string, s4 string"
+SCHEMA = "doc_id long, source string, len int, bytes int, h long, ended boolean, broken boolean, marked boolean, open int, s0 string, s1 string, s2 string, s3 string, s4 string"
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -37,8 +40,9 @@ def features(docs: DataFrame) -> DataFrame:
             for i, source, text, h in zip(b["doc_id"], b["source"], b["text"], b["h"]):
                 ended = is_terminated(text)
                 end = None if ended else end_of(text)
-                broken = not ended and bool(BROKEN.search(resolved(text)))
-                rows.append((i, source, len(text), len(text.encode("utf-8", "surrogatepass")), h, ended or end is None, broken, 0 if ended else len(unclosed(text)), *(end or (None,) * 5)))
+                bare, marked = unmarked(text)
+                broken = not ended and bool(BROKEN.search(bare))
+                rows.append((i, source, len(text), len(text.encode("utf-8", "surrogatepass")), h, ended or end is None, broken, marked, 0 if ended else len(unclosed(text)), *(end or (None,) * 5)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     d = docs.filter("text IS NOT NULL AND length(trim(text)) > 0").select("doc_id", "source", "text", F.xxhash64("text").alias("h"))
@@ -92,7 +96,9 @@ def judged(docs: DataFrame) -> DataFrame:
         y = y.withColumn("unfinished", (F.col("rate") < 0.02) | (new & (F.col("rate") < 0.03)) | (new & ~name & ~F.col("s1").startswith("1 0")))
         return y.select(*ends.columns, "rate", "m0", "m3", "unfinished")
 
-    at_limit = F.coalesce(F.col("len") == F.col("limit"), F.lit(False)) | F.coalesce(F.col("bytes") > F.col("byte_limit") - 4, F.lit(False))
+    # blanks before a mark of omission are stripped, so that such a text may fall two short of the limit
+    short = F.when(F.col("marked"), 2).otherwise(0)
+    at_limit = F.coalesce(F.col("len") >= F.col("limit") - short, F.lit(False)) | F.coalesce(F.col("bytes") > F.col("byte_limit") - 4 - short, F.lit(False))
     all_sources = total.select(F.col("source").alias("src"))
     none = all_sources.limit(0)
     # first by the corpus alone; the sources that then look whole may say which ends are usual

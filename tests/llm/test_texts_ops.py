@@ -124,3 +124,20 @@ def test_pair_defects_held_out(spark):
 def test_field_learns_transitions():
     f = pairs.Field(4, 2).fit([[[0], [1], [1]], [[0], [1]], [[2], [3]]], [[0, 1, 1], [0, 1], [1, 0]], rounds=300)
     assert f.decode([[0], [1]]) == [0, 1] and f.decode([[2], [3]]) == [1, 0]
+
+
+def test_texts_cut_and_marked(spark):
+    assert not endings.is_terminated("half a…") and not endings.is_terminated("<p>half a [...]</p>") and not endings.is_terminated("half a &hellip;")
+    assert endings.is_terminated('"Half a…"') and endings.is_terminated("Well… done.") and endings.end_of("half a…") == endings.end_of("half a")
+    rng = random.Random(6)
+    said = ["The captain praised the slower ball.", "The crowd waved its scarves at the river end.", "Both sides blamed the heavy roller after tea.", "Between overs the keeper welcomed the new ball."]
+    rows = []
+    for i in range(200):
+        body = " ".join(rng.choice(said) for _ in range(rng.randrange(1, 6)))
+        rows.append((body if len(body) <= 100 else body[:99].rstrip() + "…", "digest") if i % 2 else (body, "clean"))
+    n = len(rows)
+    rows += [("Between overs the keeper welc...", "clean"), ("The crowd waved its scarves…", "clean"), ("Both sides blamed the heavy roller after tea...", "clean")]
+    want = {i for i, (t, s) in enumerate(rows[:n]) if t.endswith("…")}
+    assert len(want) > 30 and {len(rows[i][0]) for i in want} == {99, 100}
+    got = {r.doc_id for r in truncation.truncated(docs(spark, rows)).collect()}
+    assert got == want | {n, n + 1}
