@@ -7,7 +7,9 @@ when it ends without terminator and
 
   * in a broken escape, entity, tag or character, or
   * at the length limit of its source, or
-  * in a sequence that goes on elsewhere (or a word met nowhere else), weighed by the source's baseline.
+  * in a sequence that goes on elsewhere (or a word met nowhere else), weighed by the source's baseline, or
+  * within a tag, quote or bracket that the stack still holds, unless the source's ended texts leave such
+    things open as well.
 
 A closing ellipsis ('…', '...', '[…]') is an open end: what stands before it is judged, its length is that
 of the text with the mark, as the limit counts it.
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 from seamline.llm.endings import BROKEN, end_of, is_terminated, sequence_counts, unclosed, unmarked
 from seamline.session import cut, spread
 
-SCHEMA = "doc_id long, source string, len int, bytes int, h long, ended boolean, broken boolean, marked boolean, open int, s0 string, s1 string, s2 string, s3 string, s4 string"
+#: what the automaton may leave open, and the share of a source's ended texts from which on that is a habit
+OPEN, HABIT = ("tag", "quote", "bracket"), 0.02
+
+SCHEMA = "doc_id long, source string, len int, bytes int, h long, ended boolean, broken boolean, marked boolean, open_tag boolean, open_quote boolean, open_bracket boolean, s0 string, s1 string, s2 string, s3 string, s4 string"
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -42,7 +47,9 @@ def features(docs: DataFrame) -> DataFrame:
                 end = None if ended else end_of(text)
                 bare, marked = unmarked(text)
                 broken = not ended and bool(BROKEN.search(bare))
-                rows.append((i, source, len(text), len(text.encode("utf-8", "surrogatepass")), h, ended or end is None, broken, marked, 0 if ended else len(unclosed(text)), *(end or (None,) * 5)))
+                left = unclosed(text)
+                left = any(x[0].isalpha() for x in left), '"' in left, any(x in "([{" for x in left)
+                rows.append((i, source, len(text), len(text.encode("utf-8", "surrogatepass")), h, ended or end is None, broken, marked, *left, *(end or (None,) * 5)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     d = docs.filter("text IS NOT NULL AND length(trim(text)) > 0").select("doc_id", "source", "text", F.xxhash64("text").alias("h"))
@@ -65,6 +72,17 @@ def judged(docs: DataFrame) -> DataFrame:
         piled = (F.col("c") >= 3) & (F.col("c") > 0.02 * F.col("docs")) & (F.col("u") > 0.5 * F.col("c")) & (F.col("c") > 4 * usual)
         top = top.select(F.col("t.source").alias("src"), F.when(piled, F.col(f"t.{m}")).alias(name), *([F.col("t.docs").alias("docs")] if m == "len" else []))
         x = x.join(top, F.expr("source <=> src"), "left").drop("src")
+    # what a source's ended texts leave open is its habit; the whole corpus counts as one text more
+    c = f.groupBy("source").agg(F.count_if("ended").alias("n"), *[F.count_if(F.col("ended") & F.col(f"open_{k}")).alias(k) for k in OPEN])
+    all_c = c.agg(F.sum("n").alias("all_n"), *[F.sum(k).alias(f"all_{k}") for k in OPEN])
+    habit = c.crossJoin(F.broadcast(all_c)).select(
+        F.col("source").alias("src"), *[((F.col(k) + F.coalesce(F.try_divide(f"all_{k}", "all_n"), F.lit(1.0))) / (F.col("n") + 1) >= HABIT).alias(f"habit_{k}") for k in OPEN]
+    )
+    x = x.join(habit, F.expr("source <=> src"), "left").drop("src")
+    within = F.lit(False)
+    for k in OPEN:
+        within = within | (F.col(f"open_{k}") & ~F.col(f"habit_{k}"))
+    x = x.withColumn("within", within).drop(*[f"habit_{k}" for k in OPEN])
     open_ = x.filter("NOT ended")
     want = open_.select(F.explode(F.array(*[f"s{k}" for k in range(5)])).alias("seq")).distinct()
     few = cut(counts.join(want, "seq", "left_semi"), "wanted")
@@ -108,7 +126,7 @@ def judged(docs: DataFrame) -> DataFrame:
     x = cut(rated(open_, clean), "judged")
     base = x.groupBy("source").agg((F.count_if(F.col("unfinished") & ~at_limit) / F.max("docs")).alias("base")).withColumnRenamed("source", "src")
     x = x.join(base, F.expr("source <=> src"), "left").drop("src")
-    return x.withColumn("cut", F.col("broken") | at_limit | F.col("unfinished"))
+    return x.withColumn("cut", F.col("broken") | at_limit | F.col("unfinished") | F.col("within"))
 
 
 def truncated(docs: DataFrame) -> DataFrame:

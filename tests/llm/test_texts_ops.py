@@ -141,3 +141,14 @@ def test_texts_cut_and_marked(spark):
     assert len(want) > 30 and {len(rows[i][0]) for i in want} == {99, 100}
     got = {r.doc_id for r in truncation.truncated(docs(spark, rows)).collect()}
     assert got == want | {n, n + 1}
+
+
+def test_texts_cut_within_quotes_brackets_and_tags(spark):
+    said = ["The captain praised the slower ball.", "The crowd waved its scarves at the river end.", "Both sides blamed the heavy roller after tea.", "Between overs the keeper welcomed the new ball."]
+    rng = random.Random(7)
+    body = lambda: " ".join(rng.choice(said) for _ in range(rng.randrange(2, 5)))
+    rows = [(("<p>" if i % 2 else "") + body(), "loose" if i % 2 else "strict") for i in range(120)]
+    end = " The crowd waved its scarves at the river end"
+    rows += [(body() + end, "strict"), (body() + ' They said "we' + end, "strict"), (body() + " (as usual" + end, "strict"), ("<div>" + body() + end, "strict"), ("<p>" + body() + end, "loose"), (body() + " [" + end, "loose")]
+    got = {r.doc_id for r in truncation.truncated(docs(spark, rows)).collect()}
+    assert got == {121, 122, 123, 125}
