@@ -47,5 +47,6 @@ def evaluate(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     for n in (1, 2):
         out = out.unionByName(_long(diversity.distinct_mean(gen, "generation", group, n).withColumnRenamed("mean_ratio", f"distinct_{n}"), "diversity", [f"distinct_{n}"]))
     out = out.unionByName(_long(diversity.repetition(gen, "generation", group, order, 4).withColumnRenamed("rate", "repetition_4gram_rate"), "diversity", ["repetition_4gram_rate"]))
+    out = out.unionByName(_long(diversity.self_bleu(gen, "generation", group, order), "diversity", ["self_bleu"]))
     missing = rows.sparkSession.createDataFrame([("surface.bertscore", None, "unavailable", "weights missing"), ("latency", None, "unavailable", "no generator ran")], out.schema)
     return out.unionByName(missing)

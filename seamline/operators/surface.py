@@ -3,6 +3,7 @@ Post 2018) and ROUGE-L (Lin 2004, stemmed). Model-based overlap is reported as u
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -67,6 +68,22 @@ def bleu(df: DataFrame, text: str, reference: str, group: list[str] | None = Non
     return c.select(*(group or []), F.when(F.col("m1") == 0, 0.0).otherwise(F.coalesce(100.0 * brevity * F.exp(total / 4), F.lit(0.0))).alias("bleu"))
 
 
+def sentence_bleu(h: list[str], r: list[str]) -> float:
+    """BLEU from 0 to 100 of one text's tokens, smoothed as bleu(), over the orders that the text is long enough for"""
+    total, zeros, orders = 0.0, 0, min(4, len(h))
+    for n in range(1, orders + 1):
+        a, b = Counter(zip(*[h[i:] for i in range(n)])), Counter(zip(*[r[i:] for i in range(n)]))
+        m, t = sum((a & b).values()), len(h) - n + 1
+        if not m:
+            if n == 1:
+                return 0.0
+            zeros += 1
+        total += math.log(m / t if m else 1 / (2**zeros * t))
+    if not orders:
+        return 0.0
+    return 100 * math.exp(total / orders + min(0.0, 1 - len(r) / len(h)))
+
+
 def lcs(a: list, b: list) -> int:
     """length of the longest common subsequence, by bit vectors: one big-integer step a word"""
     at: dict = {}

@@ -155,3 +155,18 @@ def test_entities_in_full(spark):
 def test_chat_roles(spark):
     m = spark.range(1).select(generate.chat(F.lit("x"), F.lit("y")).alias("m")).first().m
     assert [t.role for t in m] == ["system", "user", "assistant"]
+
+
+def test_self_bleu_draws_from_all_pairs(spark):
+    from seamline.operators import diversity, surface
+
+    assert sorted(diversity.pair_places(10, 50, "a")) == sorted((i, j) for j in range(10) for i in range(j))
+    few = diversity.pair_places(1000, 50, "a")
+    assert len(set(few)) == 50 and all(0 <= i < j < 1000 for i, j in few) and not diversity.pair_places(1, 50, "a")
+    assert surface.sentence_bleu("a b".split(), "a b".split()) == 100 and surface.sentence_bleu(["a"], ["b"]) == 0 == surface.sentence_bleu([], ["a"])
+    assert abs(surface.sentence_bleu("a b c d".split(), "a b x d".split()) - 100 * (3 / 4 * 1 / 3 * 1 / 4 * 1 / 4) ** 0.25) < 1e-9
+    d = spark.createDataFrame([("m", 1, k, "same words in all of them") for k in range(10)] + [(None, 1, k, x) for k, x in enumerate(["x y", "u v"])] + [("one", 1, 0, "z")], "m string, i int, k int, text string")
+    assert diversity.drawn_pairs(d, "text", ["m", "i"], ["k"]).groupBy("m").count().orderBy("count").collect() == [(None, 1), ("m", 45)]
+    r = diversity.self_bleu(d, "text", ["m", "i"], ["k"]).first()
+    assert r.pairs == 46 and abs(r.self_bleu - 45 / 46) < 1e-9
+    assert diversity.self_bleu(d.filter("m = 'one'"), "text", ["m", "i"], ["k"]).first().self_bleu is None
