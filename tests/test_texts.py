@@ -82,10 +82,55 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize(("text", "want"), CASES)
-def test_claims(text, want):
-    got = [(c[0], c[1] if c[1] is not None else c[3] if c[3] != "any" else None) for c in factcheck.claims_of(text) if not (c[0] == "runs" and c[1] == 0)]
-    assert got == want
+CASES += [
+    ("Twelve needed; she and her partner take 2 runs and wants 3 more", [("runs", 2)]),
+    ("3 runs; they cross for two, two more wanted", [("runs", 3)]),
+    ("five leg byes and 1 wide", [("extras", 5), ("extras", 1)]),
+    ("his six wides went for four", [("extras", 6), ("boundary", 4)]),
+    ("a maximum, the boundary riders watch", [("boundary", 6)]),
+    ("without conceding a single boundary so far", []),
+    ("castled, and almost lbw the ball before", [("wicket", "bowled")]),
+    ("bowled her. Run-out as well", [("wicket", "bowled"), ("wicket", "run out")]),
+    ("bowled a loose one, stumped for ideas", []),
+    ("the ball falls safe, that's out of here", []),
+    ("that's out! 7/101 or 101 for 7", [("wicket", "unspecified"), ("score", 7), ("score", 101)]),
+    ("falls for 99999999999 no, departs for 12", [("wicket", "unspecified"), ("personal_score", 12)]),
+    ("Omar's half-century, her hundred, a ton for Ines", [("milestone", 50), ("milestone", 100)]),
+    ("a maiden wicket, needed a maiden", [("wicket", "unspecified")]),
+    ("not \u0001four\u0002", []),
+    ("'four", [("boundary", 4)]),
+    ("", []),
+]
+
+
+def test_claims(spark):
+    none = F.array().cast("array<string>")
+    d = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)] + [(len(CASES), None)], "i int, t string")
+    got = {r.i: [(c.slot, c.num if c.num is not None else c.tag if c.tag != "any" else None) for c in r.c if not (c.slot == "runs" and c.num == 0)] for r in factcheck.with_claims(d, F.col("t"), none, none, "c").collect()}
+    assert {i: got[i] for i in range(len(CASES))} == {i: w for i, (_, w) in enumerate(CASES)} and got[len(CASES)] == []
+
+
+def test_claims_of_a_long_text(spark):
+    """guards look at the last words only, however many matches a text has"""
+    long = "need a four. " * 2000 + "he hits a four. " + "x " * 50_000
+    none = F.array().cast("array<string>")
+    c = factcheck.with_claims(spark.range(1), F.lit(long), none, none).first().claims
+    assert [x.slot for x in c] == ["boundary"]
+
+
+def test_names_behind_by_count_with_a_wicket(spark):
+    rows = [("Khan drives, by Smith", record()), ("caught by Smith", record(wicket=True, wicket_type="caught")), ("Smith bowls to Khan", record()), ("Khan drives by Smith plays", record())]
+    d = factcheck.check(spark.createDataFrame(rows, SCHEMA), "text")
+    got = [sorted((c.tag, c.span) for c in r.claims if c.slot == "attribution") for r in d.collect()]
+    assert got == [[("good", "Khan")], [("bad", "Smith")], [("bad", "Smith")], [("bad", "Smith"), ("good", "Khan")]]
+    p = {r.slot: (r.n_claims, r.n_false, r.precision) for r in factcheck.slot_precision(d).collect()}
+    assert p["attribution"] == (5, 3, 0.4) and p["wicket"] == (1, 0, 1.0)
+    more = spark.createDataFrame([("attribution",)] * 9 + [("ner",)], "slot string")
+    q = {r.slot: (r.n_claims, r.n_false, r.precision) for r in factcheck.slot_precision(d, extra=more).collect()}
+    assert q["attribution"] == (5, 12, 0.0) and q["ner"] == (0, 1, None)
+    e = factcheck.examples(d.withColumn("k", F.monotonically_increasing_id()), "violations", "text", ["k"], 2).collect()
+    assert [r.text for r in e] == ["caught by Smith", "Smith bowls to Khan"]
+    assert factcheck.recogniser_status(spark).first().status == "unavailable"
 
 
 def record(**over):
