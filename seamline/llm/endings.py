@@ -37,6 +37,12 @@ def word_class(w: str) -> str:
     return w.casefold()
 
 
+def folded(w: str) -> str:
+    """the word with the case of its first letter: what starts sentences is told apart from what ends them"""
+    low = w.casefold()
+    return low[:1].upper() + low[1:] if w[0].isupper() else low
+
+
 def is_word(t: str) -> bool:
     return t[0] not in ".!?…।。？！\n"
 
@@ -51,7 +57,7 @@ def sequences(tokens: list[str], i: int) -> tuple[str, str, str, str, str]:
     head = tokens[j + 1].casefold() if len(tokens[j + 1]) > 1 else "^"
     while len(c) < 3:
         c.append("^")
-    return "0 " + tokens[i].casefold(), "1 " + c[0], f"2 {c[1]} {c[0]}", f"3 {c[2]} {c[1]} {c[0]}", f"4 {head} {c[0]}"
+    return "0 " + folded(tokens[i]), "1 " + c[0], f"2 {c[1]} {c[0]}", f"3 {c[2]} {c[1]} {c[0]}", f"4 {head} {c[0]}"
 
 
 def resolved(text: str) -> str:
@@ -143,7 +149,7 @@ def sequence_counts(texts: DataFrame, column: str = "text") -> DataFrame:
                     low = w.casefold()
                     if c1 == "^" and len(w) > 1:
                         head = low
-                    own = ("0 " + low, "1 " + c, f"2 {c1} {c}", f"3 {c2} {c1} {c}", f"4 {head} {c}")
+                    own = ("0 " + (low if c == low else folded(w)), "1 " + c, f"2 {c1} {c}", f"3 {c2} {c1} {c}", f"4 {head} {c}")
                     for s in own:
                         n[s] += 1
                     if not is_word(nxt):

@@ -104,6 +104,8 @@ def clause_features(text: str, source: str | None, vocabulary, rate: float | Non
         if last:
             f.append(38)
             f.append(39 if rate is None else 40 + _bucket(rate, (0.02, 0.1, 0.3)))
+            if rate is not None and _cut_name(text, source):
+                f.append(50)
         if i == 0:
             f.append(44)
         if me and u and t:
@@ -113,7 +115,7 @@ def clause_features(text: str, source: str | None, vocabulary, rate: float | Non
     return out
 
 
-N_FEATURES = 50
+N_FEATURES = 51
 
 
 class Field:
@@ -313,8 +315,9 @@ def end_rates(ends: DataFrame, counts: DataFrame) -> DataFrame:
     for k in (2, 3):
         rate = (F.coalesce(f"f{k}", F.lit(0)) + 4 * rate) / (F.coalesce(f"n{k}", F.lit(0)) + 4)
     name = F.col("s1").isin("1 Aa", "1 A") | F.col("s1").startswith("1 0")
-    # a capital may be a name or the start of a sentence: a frequent word speaks for itself
-    rate = F.when((F.col("s1") == "1 Aa") & (F.col("n0") >= 20), F.col("f0") / F.col("n0")).otherwise(rate)
+    # a capital may be a name or the start of a sentence: the more often it is met, the more it speaks for itself
+    own = F.coalesce("n0", F.lit(0))
+    rate = F.when(F.col("s1") == "1 Aa", (F.coalesce("f0", F.lit(0)) + 3 * rate) / (own + 3)).otherwise(rate)
     return x.select("key", F.when(F.col("n0").isNull() & ~name, -1.0).otherwise(rate).alias("rate"))
 
 
@@ -362,7 +365,7 @@ def pair_defect(text: str | None, source: str | None, words, rate: float | None,
         return "copy"
     if cover["foreign"] >= 0.5:
         return "language"
-    if rate is not None and (tags[-1] == "unfinished" or _cut_name(text, source)):
+    if rate is not None and tags[-1] == "unfinished":
         return "truncated"
     return None
 
@@ -392,7 +395,7 @@ def defects(generations: DataFrame, train_rows: int = 2000) -> DataFrame:
             got = [pair_defect(x, s, known, None if r != r else r, f) for x, s, r in zip(b["generation"], b["linearized_input"], b["rate"])]
             yield pd.DataFrame({"gen_id": b["gen_id"], "defect": got}).dropna(subset=["defect"])
 
-    # two equal ids with different texts keep their own end: the join is on id and on the text's end
+    # rows of one id with several texts take the least finished end of them
     joined = g.withColumn("key", F.col("gen_id")).join(rates.groupBy("key").agg(F.min("rate").alias("rate")), "key", "left")
     return joined.select("gen_id", "linearized_input", "generation", F.col("rate").cast("double").alias("rate")).mapInPandas(run, "gen_id long, defect string")
 

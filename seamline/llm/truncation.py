@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.endings import BROKEN, end_of, is_terminated, sequence_counts, unclosed, unmarked
@@ -32,8 +32,19 @@ from seamline.session import cut, spread
 
 #: what the automaton may leave open, and the share of a source's ended texts from which on that is a habit
 OPEN, HABIT = ("tag", "quote", "bracket"), 0.02
+#: the share of a source's texts, surely reached, at one length that makes it a limit; the share of broken ends, surely passed, that makes it unclean
+PILE, UNCLEAN = 0.012, 0.001
+#: how many occurrences of its class a word's own count must outweigh
+PRIOR = 3
 
-SCHEMA = "doc_id long, source string, len int, bytes int, h long, ended boolean, broken boolean, marked boolean, open_tag boolean, open_quote boolean, open_bracket boolean, s0 string, s1 string, s2 string, s3 string, s4 string"
+SCHEMA = "doc_id long, source string, len int, bytes int, h string, ended boolean, broken boolean, marked boolean, open_tag boolean, open_quote boolean, open_bracket boolean, s0 string, s1 string, s2 string, s3 string, s4 string"
+
+
+def surely(k: Column, n: Column, z: float) -> Column:
+    """The lower bound of a share seen k times in n (Wilson): what holds at every size, in place of least counts."""
+    k, n = k.cast("double"), n.cast("double")
+    p, q = F.try_divide(k, n), F.try_divide(F.lit(z * z), n)
+    return F.coalesce((p + q / 2 - z * F.sqrt(F.try_divide(p * (1 - p) + q / 4, n))) / (1 + q), F.lit(0.0))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -52,14 +63,14 @@ def features(docs: DataFrame) -> DataFrame:
                 rows.append((i, source, len(text), len(text.encode("utf-8", "surrogatepass")), h, ended or end is None, broken, marked, *left, *(end or (None,) * 5)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    d = docs.filter("text IS NOT NULL AND length(trim(text)) > 0").select("doc_id", "source", "text", F.xxhash64("text").alias("h"))
+    d = docs.filter("text IS NOT NULL AND length(trim(text)) > 0").select("doc_id", "source", "text", F.md5("text").alias("h"))
     return spread(d).mapInPandas(run, SCHEMA)
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """features with limit (the source's length limit, if it has one), rate (how often such an end ends elsewhere), known and cut."""
     f = cut(features(docs), "ends")
-    texts = docs.filter("text IS NOT NULL AND length(trim(text)) > 0").select("text", F.xxhash64("text").alias("h")).dropDuplicates(["h"])
+    texts = docs.filter("text IS NOT NULL AND length(trim(text)) > 0").select("text", F.md5("text").alias("h")).dropDuplicates(["h"])
     counts = cut(sequence_counts(texts), "sequences")
     # the limit of a source, in characters or bytes: its greatest length, if more texts have it than chance allows
     total = f.groupBy("source").agg(F.count("*").alias("docs"), F.max("len").alias("len"), F.max("bytes").alias("bytes"))
@@ -69,7 +80,7 @@ def judged(docs: DataFrame) -> DataFrame:
         kinds = at.groupBy(F.col("source").alias("src")).agg(F.count("*").alias("kinds"))
         top = at.alias("b").join(total.alias("t"), F.expr(f"b.source <=> t.source AND b.{m} = t.{m}")).join(kinds, F.expr("t.source <=> src")).drop("src")
         usual = (F.col("docs") - F.col("c")) / F.greatest(F.col("kinds") - 1, F.lit(1))  # texts of any other length
-        piled = (F.col("c") >= 3) & (F.col("c") > 0.02 * F.col("docs")) & (F.col("u") > 0.5 * F.col("c")) & (F.col("c") > 4 * usual)
+        piled = (surely(F.col("c"), F.col("docs"), 2) > PILE) & (F.col("u") > 0.5 * F.col("c")) & (F.col("c") > 4 * usual)
         top = top.select(F.col("t.source").alias("src"), F.when(piled, F.col(f"t.{m}")).alias(name), *([F.col("t.docs").alias("docs")] if m == "len" else []))
         x = x.join(top, F.expr("source <=> src"), "left").drop("src")
     # what a source's ended texts leave open is its habit; the whole corpus counts as one text more
@@ -107,8 +118,8 @@ def judged(docs: DataFrame) -> DataFrame:
         name = F.col("s1").isin("1 Aa", "1 A")
         # names and numbers say little by themselves: the sentence's first word does ('Umpires: ...', 'Att: ...')
         by_head = F.when((name | (F.col("s1") == "1 0")) & (F.col("m4") >= 4), F.col("f4") / F.col("m4"))
-        # a capital may be a name or the start of a sentence: a frequent word speaks for itself
-        by_words = F.when((F.col("s1") == "1 Aa") & (F.col("m0") >= 20), F.col("f0") / F.col("m0")).otherwise(by_words)
+        # a capital may be a name or the start of a sentence: the more often it is met, the more it speaks for itself
+        by_words = F.when(F.col("s1") == "1 Aa", (F.col("f0") + PRIOR * by_words) / (F.col("m0") + PRIOR)).otherwise(by_words)
         y = y.withColumn("rate", F.greatest(by_words, by_head))
         new = F.col("m0") == 0
         y = y.withColumn("unfinished", (F.col("rate") < 0.02) | (new & (F.col("rate") < 0.03)) | (new & ~name & ~F.col("s1").startswith("1 0")))
@@ -121,11 +132,9 @@ def judged(docs: DataFrame) -> DataFrame:
     none = all_sources.limit(0)
     # first by the corpus alone; the sources that then look whole may say which ends are usual
     rough = rated(open_, none)
-    share = rough.filter(~at_limit).groupBy("source").agg(F.count_if("unfinished").alias("u"), F.count_if(F.col("broken")).alias("b"), F.max("docs").alias("docs"), F.max(F.coalesce("limit", "byte_limit")).alias("limit"))
-    clean = cut(share.filter("limit IS NULL AND b <= greatest(1, 0.001 * docs)").select(F.col("source").alias("src")), "clean")
+    share = rough.filter(~at_limit).groupBy("source").agg(F.count_if("broken").alias("b"), F.max("docs").alias("docs"), F.max(F.coalesce("limit", "byte_limit")).alias("limit"))
+    clean = cut(share.filter(F.col("limit").isNull() & (surely(F.col("b"), F.col("docs"), 3) <= UNCLEAN)).select(F.col("source").alias("src")), "clean")
     x = cut(rated(open_, clean), "judged")
-    base = x.groupBy("source").agg((F.count_if(F.col("unfinished") & ~at_limit) / F.max("docs")).alias("base")).withColumnRenamed("source", "src")
-    x = x.join(base, F.expr("source <=> src"), "left").drop("src")
     return x.withColumn("cut", F.col("broken") | at_limit | F.col("unfinished") | F.col("within"))
 
 
