@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.functions import records as R
+from seamline.session import cut
 
 # Header names accepted for each logical field, in order of preference.
 ALIASES: dict[str, list[str]] = {
@@ -132,26 +133,40 @@ def _kind_ok() -> Column:
     return F.col("at_kind").isNull() | v.isin(NO_KIND) | v.rlike(KIND)
 
 
-def _judged(lines: DataFrame) -> DataFrame:
-    split = split_lines(lines)
-    at = layouts(split)
-    return split.join(at, ["feed", "file_name"], "left")
-
-
 def _width_ok() -> Column:
     return F.coalesce(F.size("f") == F.size("names"), F.lit(False))
 
 
+def split_table(lines: DataFrame) -> DataFrame:
+    """split_lines written once, as the layouts, the load and the diagnosis all read it; a file's header is looked up, not repeated in every line"""
+    return cut(split_lines(lines).select("line_id", "feed", "file_name", "file_seq", "line_no", "names", "strict", "f"), "split")
+
+
+def located(split: DataFrame) -> DataFrame:
+    """split_lines with where each file has the checked values"""
+    return split.join(layouts(split), ["feed", "file_name"], "left")
+
+
+def _loaded(split: DataFrame) -> DataFrame:
+    good = F.col("strict") & _width_ok() & _ball_ok() & _total_ok() & _kind_ok()
+    return located(split).filter(good).select("line_id", "feed", "file_name", "file_seq", "line_no", "names", "f", "at_pos", "at_total", "at_kind")
+
+
 def strict_load(lines: DataFrame) -> DataFrame:
     """The conforming lines only: (line_id, feed, file_name, file_seq, line_no, names, f, at_pos, at_total, at_kind)."""
-    good = F.col("strict") & _width_ok() & _ball_ok() & _total_ok() & _kind_ok()
-    return _judged(lines).filter(good).select("line_id", "feed", "file_name", "file_seq", "line_no", "names", "f", "at_pos", "at_total", "at_kind")
+    return _loaded(split_table(lines))
 
 
 def rejects(lines: DataFrame) -> DataFrame:
-    """(line_id, reason) of every data line that does not load; the first reason that applies."""
-    loaded = strict_load(lines).select("line_id")
-    rest = _judged(lines).join(loaded, "line_id", "left_anti")
+    """(line_id, reason) of every data line that does not load; the first reason that applies.
+
+    What the load took is subtracted from the raw offsets; only the rest is joined with its file's layout and diagnosed."""
+    split = split_table(lines)
+    at = cut(layouts(split), "layouts")
+    placed = split.join(at, ["feed", "file_name"], "left")
+    good = F.col("strict") & _width_ok() & _ball_ok() & _total_ok() & _kind_ok()
+    loaded = placed.filter(good).select("line_id")
+    rest = split.join(loaded, "line_id", "left_anti").join(at, ["feed", "file_name"], "left")
     reason = (
         F.when(~F.col("strict"), "quoting")
         .when(~_width_ok(), "columns")
