@@ -9,8 +9,8 @@ from seamline.functions import rules
 from seamline.operators import state
 
 
-def features(balls: DataFrame, cfg: rules.FeatureConfig = rules.DEFAULTS) -> DataFrame:
-    """balls (one row a delivery, with the stored state) -> the key, the eight features, unrounded and rounded ones.
+def features(balls: DataFrame, cfg: rules.FeatureConfig = rules.DEFAULTS, keep: list[str] | None = None) -> DataFrame:
+    """balls (one row a delivery, with the stored state) -> the key, the eight features, and the columns to keep.
 
     Rates are rounded to 2 digits, salience and tension to 3; tension uses the unrounded rates."""
     c = F.col
@@ -31,12 +31,13 @@ def features(balls: DataFrame, cfg: rules.FeatureConfig = rules.DEFAULTS) -> Dat
         "momentum",
         rules.rounded(c("salience"), 3).alias("event_salience"),
         rules.rounded(c("tension_raw"), 3).alias("tension"),
+        *(keep or []),
     )
 
 
 def phase_rollup(balls: DataFrame) -> DataFrame:
     """Mean tension, momentum and wickets by phase and innings (first and second, later ones as one)."""
-    f = features(balls).join(balls.select(*state.KEY, "wicket"), state.KEY)
+    f = features(balls, keep=["wicket"])
     n = F.least(F.col("innings"), F.lit(3)).alias("innings")
     s = lambda name, k: F.sum(rules.scaled(F.col(name), k)).cast("bigint")
     return f.groupBy("phase", n).agg(

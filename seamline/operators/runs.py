@@ -10,13 +10,13 @@ from seamline.operators import stats
 STATUSES = ["unavailable", "disabled", "blocked"]
 
 
-def flatten(metrics: DataFrame, body: str = "body", key: str = "run_dir", depth: int = 4) -> DataFrame:
+def flatten(metrics: DataFrame, body: str = "body", key: str = "run_dir") -> DataFrame:
     """Documents -> (key, path, value, status, reason): a row a leaf; a leaf is a number, null, or a status record.
 
-    Levels are unfolded one by one as maps of text, so keys need not be known beforehand."""
+    Levels are unfolded one by one as maps of text, so keys need not be known beforehand, until none is left."""
     level = metrics.select(key, F.lit(None).cast("string").alias("path"), F.get_json_object(body, "$.metrics").alias("v"))
     leaves = None
-    for _ in range(depth):
+    while leaves is None or not level.isEmpty():
         kids = level.select(key, "path", F.explode_outer(F.from_json("v", "map<string,string>")).alias("k", "v"))
         kids = kids.filter("k IS NOT NULL").select(key, F.concat_ws(".", "path", "k").alias("path"), "v")
         status = F.get_json_object("v", "$.status")

@@ -24,9 +24,26 @@ def stratified(df: DataFrame, stratum: str, key: str, n: int, floor: int | None
     return picked.drop("__k", "__r", "__top")
 
 
-def outcome_class(wicket: Column, runs_batter: Column, extras: Column, runs_total: Column) -> Column:
-    """classes of example balls: wicket, six, four, extra, dot, runs"""
-    return F.when(wicket, "wicket").when(runs_batter == 6, "six").when(runs_batter == 4, "four").when(extras > 0, "extra").when(runs_total == 0, "dot").otherwise("runs")
+def outcome_class(wicket: Column, runs_batter: Column, extras_type: Column, runs_total: Column) -> Column:
+    """classes of example balls: wicket, six, four, extra (of any kind, whatever it is worth), dot, runs"""
+    return F.when(wicket, "wicket").when(runs_batter == 6, "six").when(runs_batter == 4, "four").when(extras_type != "none", "extra").when(runs_total == 0, "dot").otherwise("runs")
+
+
+def category(wicket: Column, runs_batter: Column, runs_total: Column, phase: Column, target: Column, tension: Column) -> Column:
+    """what an example shows: wicket, six, four, dot_death, tense_chase; null for all else"""
+    return (
+        F.when(wicket, "wicket").when(runs_batter == 6, "six").when(runs_batter == 4, "four")
+        .when((runs_total == 0) & (phase == "death"), "dot_death")
+        .when(target.isNotNull() & (tension > 0.6), "tense_chase")
+    )
+
+
+def of_split(df: DataFrame, split: str, column: str = "split") -> DataFrame:
+    """The rows of one split, or of all; raises if there is none (one row is looked for, nothing is counted)."""
+    d = df if split == "all" else df.filter(F.col(column) == split)
+    if d.isEmpty():
+        raise ValueError(f"no rows in split {split!r}")
+    return d
 
 
 def few_shot(df: DataFrame, klass: str, key: str, n: int, seed: str = "13") -> DataFrame:

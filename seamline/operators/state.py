@@ -71,12 +71,17 @@ def previous_labels(label: Column, depth: int = 4) -> Column:
     return F.collect_list(label).over(Window.partitionBy(*INNINGS).orderBy(*ORDER).rowsBetween(-depth, -1))
 
 
-def strike_faults(balls: DataFrame) -> DataFrame:
-    """Deliveries whose striker is not the one expected from the ball before in the over (odd runs by the bat change ends)."""
+def ends_changed(runs_batter: Column, extras: Column, extras_type: Column) -> Column:
+    """whether the batters changed ends, by the runs they ran: of wides all but the penalty, of no-balls those of the bat, of other extras these"""
+    ran = F.when(extras_type.contains("wides"), extras - 1).when(extras_type.contains("noballs"), runs_batter).when(extras_type != "none", extras).otherwise(runs_batter)
+    return F.pmod(ran, F.lit(2)) == 1
+
+
+def strike_checks(balls: DataFrame) -> DataFrame:
+    """(key, kind, batter, expected) of each delivery whose striker follows from the one before in its over; not after a wicket. kind: the extras of that one."""
     w = Window.partitionBy(*INNINGS, "over_no").orderBy(*ORDER)
-    prev = {c: F.lag(c).over(w) for c in ("batter", "non_striker", "runs_batter", "wicket", "extras")}
+    prev = {c: F.lag(c).over(w) for c in ("batter", "non_striker", "runs_batter", "wicket", "extras", "extras_type")}
     d = balls.select(*KEY, "batter", *[v.alias("p_" + k) for k, v in prev.items()])
-    swap = F.pmod(F.col("p_runs_batter"), F.lit(2)) == 1
-    expected = F.when(swap, F.col("p_non_striker")).otherwise(F.col("p_batter"))
-    known = F.col("p_batter").isNotNull() & F.col("p_non_striker").isNotNull() & ~F.col("p_wicket") & (F.col("p_extras") == 0)
-    return d.filter(known & (F.col("batter") != expected)).select(*KEY, "batter", expected.alias("expected"))
+    expected = F.when(ends_changed(F.col("p_runs_batter"), F.col("p_extras"), F.col("p_extras_type")), F.col("p_non_striker")).otherwise(F.col("p_batter"))
+    known = F.col("p_batter").isNotNull() & F.col("p_non_striker").isNotNull() & ~F.col("p_wicket")
+    return d.filter(known).select(*KEY, F.col("p_extras_type").alias("kind"), "batter", expected.alias("expected"))

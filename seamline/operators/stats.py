@@ -39,6 +39,26 @@ def percentiles(df: DataFrame, x: str) -> DataFrame:
     return df.agg(F.count(c).alias("n"), F.percentile(c, 0.5).alias("p50"), F.percentile(c, 0.95).alias("p95"), F.avg(c).alias("mean"))
 
 
+def throughput(df: DataFrame, seconds: str, tokens: str) -> DataFrame:
+    """(n, p50_ms, p95_ms, mean_ms, tokens_per_s) of timed rows; without time no rate"""
+    ms = F.col(seconds) * 1000.0
+    return df.agg(
+        F.count(seconds).alias("n"), F.percentile(ms, 0.5).alias("p50_ms"), F.percentile(ms, 0.95).alias("p95_ms"), F.avg(ms).alias("mean_ms"),
+        F.try_divide(F.sum(F.when(F.col(seconds).isNotNull(), F.col(tokens))), F.nullif(F.sum(seconds), F.lit(0.0))).alias("tokens_per_s"),
+    )
+
+
+def labelled(df: DataFrame, *labels: str) -> DataFrame:
+    """Human y/n labels as booleans; raises if one is blank or anything else, as a sheet half filled in says nothing."""
+    low = {c: F.lower(F.trim(F.col(c))) for c in labels}
+    fine = F.lit(True)
+    for c in labels:
+        fine = fine & F.coalesce(low[c].isin("y", "yes", "n", "no"), F.lit(False))
+    if not df.filter(~fine).isEmpty():
+        raise ValueError(f"labels {', '.join(labels)} must be y or n in every row")
+    return df.withColumns({c: low[c].isin("y", "yes") for c in labels})
+
+
 def seed_rollup(runs: DataFrame, name: str, metrics: list[str], order: str) -> DataFrame:
     """Runs that differ by a _seed<N> ending as one row: mean and sample deviation of the values there are,
     whether some are missing, and the system of the first."""
@@ -52,12 +72,13 @@ def seed_rollup(runs: DataFrame, name: str, metrics: list[str], order: str) -> D
 def confusion(df: DataFrame, predicted: Column, gold: Column, task: str, stratum: str) -> DataFrame:
     """Counts, precision, recall, F1, accuracy and kappa, per task over all and per stratum, in one pass of grouping sets."""
     d = df.select(F.col(task).alias("task"), F.col(stratum).alias("stratum"), predicted.alias("p"), gold.alias("g"))
-    d.createOrReplaceTempView("__confusion")
-    got = d.sparkSession.sql(
-        """SELECT task, CASE WHEN grouping(stratum) = 1 THEN 'overall' ELSE stratum END AS stratum, count_if(p AND g) AS tp, count_if(p AND NOT g) AS fp,
-                  count_if(NOT p AND g) AS fn, count_if(NOT p AND NOT g) AS tn
-           FROM __confusion GROUP BY GROUPING SETS ((task), (task, stratum))"""
-    )
+    sets = d.groupingSets([["task"], ["task", "stratum"]], "task", "stratum")
+    got = sets.agg(
+        F.grouping("stratum").alias("__all"),
+        F.count_if(F.col("p") & F.col("g")).alias("tp"), F.count_if(F.col("p") & ~F.col("g")).alias("fp"),
+        F.count_if(~F.col("p") & F.col("g")).alias("fn"), F.count_if(~F.col("p") & ~F.col("g")).alias("tn"),
+    )
+    got = got.withColumn("stratum", F.when(F.col("__all") == 1, "overall").otherwise(F.col("stratum"))).drop("__all")
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     got = got.withColumn("precision", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")))
     got = got.withColumn("f1", F.try_divide(F.lit(2.0) * F.col("tp"), F.lit(2) * F.col("tp") + F.col("fp") + F.col("fn")))

@@ -126,6 +126,10 @@ def rouge_l(df: DataFrame, text: str, reference: str, key: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(text).alias("a"), F.col(reference).alias("b")).mapInPandas(run, f"k {t}, rouge_l double").withColumnRenamed("k", key)
 
 
-def model_overlap(spark) -> DataFrame:
-    """The model-based overlap: its weights are not available, which is reported, not guessed."""
-    return spark.createDataFrame([("surface.bertscore", None, "unavailable", "weights missing")], "path string, value double, status string, reason string")
+def bertscore_status(mode: str = "auto") -> list[tuple]:
+    """The model-based overlap as (path, value, status, reason): its weights are not available, which is reported, not guessed. require raises."""
+    if mode not in ("auto", "off", "require"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode == "require":
+        raise LookupError("the weights of the model-based overlap are not available")
+    return [("surface.bertscore", None, "disabled", "switched off") if mode == "off" else ("surface.bertscore", None, "unavailable", "weights missing")]

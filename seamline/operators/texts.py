@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.functions import rules
+from seamline.session import cut
 
 
 def names_in(*people: Column) -> Column:
@@ -33,25 +34,29 @@ def drop_reason(text: Column, mismatch: Column, least: int = 4, most: int = 80)
 def first_occurrence(df: DataFrame, text: str, order: list[str]) -> DataFrame:
     """Adds `is_first`: whether the row is the first of its lower-cased text in the global order.
 
-    A hot text is no window of its own: its least order key is found by partial aggregation and joined back."""
-    key = F.xxhash64(F.lower(F.col(text)))
-    least = df.groupBy(key.alias("__h"), F.lower(F.col(text)).alias("__t")).agg(F.min(F.struct(*order)).alias("__least")).drop("__t")
-    d = df.withColumn("__h", key)
-    return d.join(least.groupBy("__h").agg(F.min("__least").alias("__least")), "__h", "left").withColumn("is_first", F.col("__least").eqNullSafe(F.struct(*order))).drop("__h", "__least")
+    A hot text is no window of its own: its least order key is found by partial aggregation and joined back.
+    Texts are told apart by 128 bits."""
+    d = df.withColumn("__h", F.md5(F.lower(F.col(text))))
+    least = d.groupBy("__h").agg(F.min(F.struct(*order)).alias("__least"))
+    return d.join(least, "__h", "left").withColumn("is_first", F.col("__least").eqNullSafe(F.struct(*order))).drop("__h", "__least")
 
 
 def clean(dataset: DataFrame) -> DataFrame:
-    """dataset rows -> (row_id, text, drop_reason): the ladder, then duplicates among its survivors."""
+    """dataset rows -> (row_id, text, drop_reason): the ladder, then duplicates among its survivors, of which the first in
+    the order of balls (match_id, innings, over_no, delivery_seq, row_id) stays. The ladder is walked once: a dropped text is
+    in a group of its own."""
     r = lambda c: F.col("record." + c)
     text = rules.strip_html(F.coalesce("target_commentary", F.lit("")))
     people = F.array(r("batter"), r("bowler"), r("non_striker"), r("player_out"))
     involved = names_in(people, F.coalesce(r("fielders"), F.array().cast("array<string>")))
     squad = names_in(F.coalesce(r("squad"), F.array().cast("array<string>")))
-    d = dataset.select("row_id", text.alias("text"), involved.alias("involved"), squad.alias("squad"))
-    d = d.select("row_id", "text", drop_reason(F.col("text"), entity_mismatch(F.col("text"), F.col("involved"), F.col("squad"))).alias("drop_reason"))
-    kept = first_occurrence(d.filter("drop_reason IS NULL"), "text", ["row_id"])
-    kept = kept.select("row_id", "text", F.when(~F.col("is_first"), "duplicate").alias("drop_reason"))
-    return d.filter("drop_reason IS NOT NULL").unionByName(kept)
+    order = ["__m", "__i", "__o", "__q", "row_id"]
+    d = dataset.select("row_id", r("match_id").alias("__m"), r("innings").alias("__i"), r("over_no").alias("__o"), r("delivery_seq").alias("__q"), text.alias("text"), involved.alias("involved"), squad.alias("squad"))
+    d = d.withColumn("drop_reason", drop_reason(F.col("text"), entity_mismatch(F.col("text"), F.col("involved"), F.col("squad")))).drop("involved", "squad")
+    d = cut(d.withColumn("__h", F.when(F.col("drop_reason").isNull(), F.md5(F.lower("text")))), "ladder")
+    least = d.filter("__h IS NOT NULL").groupBy("__h").agg(F.min(F.struct(*order)).alias("__least"))
+    twice = F.col("__least").isNotNull() & ~F.col("__least").eqNullSafe(F.struct(*order))
+    return d.join(least, "__h", "left").select("row_id", "text", F.when(twice, "duplicate").otherwise(F.col("drop_reason")).alias("drop_reason"))
 
 
 def join_texts(balls: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
@@ -60,17 +65,13 @@ def join_texts(balls: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
 
 
 def split_counts(n: int, shares: dict[str, float]) -> dict[str, int]:
-    """Whole groups per split: floor of each share, at least one where there are enough, the rest to the largest share."""
-    names = list(shares)
-    out = {s: int(n * shares[s]) for s in names}
-    if n >= len(names):
-        for s in names:
-            if shares[s] > 0 and out[s] == 0:
-                out[s] = 1
-        while sum(out.values()) > n:
-            out[max(names, key=lambda s: out[s])] -= 1
-    out[max(names, key=lambda s: shares[s])] += n - sum(out.values())
-    return out
+    """Whole groups per split. Every split with a share is owed a group if there are enough; the other groups go by the
+    floor of each share, and what the floors leave belongs to the largest share (to the first of equal ones)."""
+    if any(v < 0 for v in shares.values()) or abs(sum(shares.values()) - 1) > 1e-6:
+        raise ValueError(f"shares must not be negative and must sum to 1: {shares}")
+    owed = {s: max(int(n * v), 1 if v > 0 and n >= len(shares) else 0) for s, v in shares.items()}
+    largest = max(shares, key=shares.get)
+    return owed | {largest: n - sum(k for s, k in owed.items() if s != largest)}
 
 
 def split_by_group(df: DataFrame, group: str, shares: dict[str, float], seed: str = "13") -> DataFrame:

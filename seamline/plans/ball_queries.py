@@ -37,7 +37,9 @@ def target_join(spark, d):
 
 
 def strike_faults(spark, d):
-    return state.strike_faults(balls(spark, d))
+    """pairs of balls checked and those at fault, by the kind of extras of the first"""
+    x = state.strike_checks(balls(spark, d))
+    return x.groupBy("kind").agg(F.count("*").alias("n_checked"), F.count_if(F.col("batter") != F.col("expected")).alias("n_faults"))
 
 
 def phase_rates(spark, d):
@@ -153,9 +155,9 @@ ORACLE = {
  cast(sum(is_legal::int) OVER (PARTITION BY match_id, innings, batter {O} {U}) AS bigint) AS batter_faced_now FROM balls""",
     "state_target_join": f"""{BALLS}, m AS (SELECT match_id, innings, cast(sum(runs_total) AS bigint) AS made FROM balls WHERE innings IN (1, 2) GROUP BY 1, 2)
  SELECT b.match_id, b.innings, a.made + 1 AS chase_target FROM m b LEFT JOIN m a ON a.match_id = b.match_id AND a.innings = 1 WHERE b.innings = 2""",
-    "state_strike_faults": f"""{BALLS}, l AS (SELECT *, lag(batter) OVER w AS pb, lag(non_striker) OVER w AS pn, lag(runs_batter) OVER w AS pr, lag(wicket) OVER w AS pw, lag(extras) OVER w AS pe FROM balls
- WINDOW w AS (PARTITION BY match_id, innings, over_no ORDER BY delivery_seq)), x AS (SELECT *, CASE WHEN pr % 2 = 1 THEN pn ELSE pb END AS expected FROM l WHERE pb IS NOT NULL AND pn IS NOT NULL AND NOT pw AND pe = 0)
- SELECT {KS}, batter, expected FROM x WHERE batter <> expected""",
+    "state_strike_faults": f"""{BALLS}, l AS (SELECT *, lag(batter) OVER w AS pb, lag(non_striker) OVER w AS pn, lag(runs_batter) OVER w AS pr, lag(wicket) OVER w AS pw, lag(extras) OVER w AS pe, lag(extras_type) OVER w AS pt FROM balls
+ WINDOW w AS (PARTITION BY match_id, innings, over_no ORDER BY delivery_seq)), x AS (SELECT *, CASE WHEN (CASE WHEN contains(pt, 'wides') THEN pe - 1 WHEN contains(pt, 'noballs') THEN pr WHEN pt <> 'none' THEN pe ELSE pr END) % 2 = 1 THEN pn ELSE pb END AS expected FROM l WHERE pb IS NOT NULL AND pn IS NOT NULL AND NOT pw)
+ SELECT pt AS kind, count(*) AS n_checked, count(*) FILTER (batter <> expected) AS n_faults FROM x GROUP BY 1""",
     "feat_phase_rates": f"{FEATS} SELECT {KS}, phase, {_big('crr', 2)} AS crr_centi, {_big('rrr', 2)} AS rrr_centi, wih AS wickets_in_hand FROM f",
     "feat_salience_tension": f"{FEATS} SELECT {KS}, {_big('sal', 3)} AS salience_milli, {_big('ten', 3)} AS tension_milli FROM f",
     "feat_momentum": f"{BALLS} SELECT {KS}, {MOMENTUM} AS momentum FROM balls",

@@ -56,7 +56,7 @@ def template_faithful(spark, d):
 def prompt_block(spark, d):
     ds = t(spark, d, "dataset").filter("split = 'train' AND target_commentary IS NOT NULL AND linearized_input IS NOT NULL")
     r = lambda k: F.col("record." + k)
-    x = ds.select("row_id", "linearized_input", "target_commentary", sampling.outcome_class(r("wicket"), r("runs_batter"), r("extras"), r("runs_total")).alias("klass"))
+    x = ds.select("row_id", "linearized_input", "target_commentary", sampling.outcome_class(r("wicket"), r("runs_batter"), r("extras_type"), r("runs_total")).alias("klass"))
     ex = sampling.few_shot(x, "klass", "row_id", 4)
     return generate.prompts(t(spark, d, "dataset").filter("split = 'test'"), ex, "row_id")
 
@@ -147,7 +147,7 @@ ORACLE = {
     "boundary_omissions": r"SELECT row_id, record.runs_batter AS b FROM dataset WHERE record.runs_batter IN (4, 6) AND NOT regexp_matches(coalesce(target_commentary, ''), '(?i)\bsix(?:es)?\b|\bfours?\b|\bboundar(?:y|ies)\b|\bmaximum\b')",
     "template_faithfulness": "SELECT count(*) AS n_rows, 0 AS n_hallucinated FROM dataset",
     "chat_format": "SELECT row_id, 'system: Describe the ball in one line.' || chr(10) || 'user: ' || linearized_input || chr(10) || 'assistant: ' || target_commentary AS chat, 'commentary: ' || linearized_input AS seq2seq FROM dataset WHERE linearized_input IS NOT NULL AND target_commentary IS NOT NULL",
-    "prompt_block": """WITH s AS (SELECT row_id, linearized_input AS i, target_commentary AS c, CASE WHEN record.wicket THEN 'wicket' WHEN record.runs_batter = 6 THEN 'six' WHEN record.runs_batter = 4 THEN 'four' WHEN record.extras > 0 THEN 'extra' WHEN record.runs_total = 0 THEN 'dot' ELSE 'runs' END AS klass, sha256('13|' || row_id) AS h
+    "prompt_block": """WITH s AS (SELECT row_id, linearized_input AS i, target_commentary AS c, CASE WHEN record.wicket THEN 'wicket' WHEN record.runs_batter = 6 THEN 'six' WHEN record.runs_batter = 4 THEN 'four' WHEN record.extras_type <> 'none' THEN 'extra' WHEN record.runs_total = 0 THEN 'dot' ELSE 'runs' END AS klass, sha256('13|' || row_id) AS h
  FROM dataset WHERE split = 'train' AND target_commentary IS NOT NULL AND linearized_input IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY klass ORDER BY h, row_id) AS r FROM s), e AS (SELECT * FROM r ORDER BY (r > 1)::int, h, row_id LIMIT 4),
  b AS (SELECT string_agg('Input: ' || i || chr(10) || 'Commentary: ' || c, chr(10) || chr(10) ORDER BY row_id) AS block FROM e) SELECT row_id, block || chr(10) || chr(10) || 'Input: ' || linearized_input || chr(10) || 'Commentary:' AS prompt FROM dataset, b WHERE split = 'test'""",
     "bleu_unigram_counts": """WITH g AS (SELECT * FROM generations WHERE generation IS NOT NULL AND reference IS NOT NULL), a AS (SELECT gen_id, w, count(*) AS a FROM (SELECT gen_id, unnest(regexp_extract_all(lower(generation), '[a-z]+')) AS w FROM g) GROUP BY 1, 2),

@@ -40,14 +40,14 @@ def split_by_group(spark, d):
 def stratified_sample(spark, d):
     x = balls(spark, d)
     c = F.col
-    x = x.select(F.concat_ws("/", *[c(k).cast("string") for k in KS.split(", ")]).alias("key"), sampling.outcome_class(c("wicket"), c("runs_batter"), c("extras"), c("runs_total")).alias("klass"))
+    x = x.select(F.concat_ws("/", *[c(k).cast("string") for k in KS.split(", ")]).alias("key"), sampling.outcome_class(c("wicket"), c("runs_batter"), c("extras_type"), c("runs_total")).alias("klass"))
     return sampling.stratified(x, "klass", "key", 200, floor=16)
 
 
 def few_shot(spark, d):
     x = t(spark, d, "dataset").filter("split = 'train'")
     r = lambda k: F.col("record." + k)
-    x = x.select("row_id", sampling.outcome_class(r("wicket"), r("runs_batter"), r("extras"), r("runs_total")).alias("klass"))
+    x = x.select("row_id", sampling.outcome_class(r("wicket"), r("runs_batter"), r("extras_type"), r("runs_total")).alias("klass"))
     return sampling.few_shot(x, "klass", "row_id", 8)
 
 
@@ -150,7 +150,7 @@ def _parts_sql(c: str) -> str:
 
 
 SCORE = "(0.4::double * (least(bangs, 3) / 3.0::double) + 0.4::double * (least(intensifiers, 3) / 3.0::double) + 0.2::double * (least(caps, 2) / 2.0::double))"
-CLASS = "CASE WHEN {0}wicket THEN 'wicket' WHEN {0}runs_batter = 6 THEN 'six' WHEN {0}runs_batter = 4 THEN 'four' WHEN {0}extras > 0 THEN 'extra' WHEN {0}runs_total = 0 THEN 'dot' ELSE 'runs' END"
+CLASS = "CASE WHEN {0}wicket THEN 'wicket' WHEN {0}runs_batter = 6 THEN 'six' WHEN {0}runs_batter = 4 THEN 'four' WHEN {0}extras_type <> 'none' THEN 'extra' WHEN {0}runs_total = 0 THEN 'dot' ELSE 'runs' END"
 
 
 def _strat(source: str, n: int, floor: int) -> str:
@@ -187,12 +187,12 @@ QUERIES = {
 
 ORACLE = {
     "clean_strip_html": f"SELECT doc_id, {STRIP} AS text FROM documents",
-    "clean_reason_counts": rf"""WITH a AS (SELECT row_id, {TARGET} AS text,
+    "clean_reason_counts": rf"""WITH a AS (SELECT row_id, record.match_id AS m, record.innings AS i, record.over_no AS o, record.delivery_seq AS q, {TARGET} AS text,
   list_filter(list_distinct([{SURNAME} FOR x IN list_concat([record.batter, record.bowler, record.non_striker, record.player_out], coalesce(record.fielders, []))]), lambda y: y <> '') AS inv,
   list_filter(list_distinct([{SURNAME} FOR x IN coalesce(record.squad, [])]), lambda y: y <> '') AS squad FROM dataset),
  b AS (SELECT *, regexp_extract_all(text, '[A-Z][a-z]+') AS w, len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS n FROM a),
  c AS (SELECT *, CASE WHEN text = '' THEN 'empty' WHEN n < 4 THEN 'too_short' WHEN n > 80 THEN 'too_long' WHEN list_has_any(w, list_filter(squad, lambda y: NOT list_contains(inv, y))) AND NOT list_has_any(w, inv) THEN 'entity_mismatch' END AS reason FROM b),
- e AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY reason IS NULL, lower(text) ORDER BY row_id) > 1 THEN 'duplicate' END AS dup FROM c)
+ e AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY reason IS NULL, lower(text) ORDER BY m, i, o, q, row_id) > 1 THEN 'duplicate' END AS dup FROM c)
  SELECT coalesce(reason, dup, 'kept') AS reason, count(*) AS n FROM e GROUP BY 1""",
     "clean_dedup_first": "SELECT min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY lower(trim(text, ' '))",
     "split_by_group": """WITH g AS (SELECT DISTINCT match_id FROM match_info WHERE match_id IS NOT NULL), r AS (SELECT match_id, row_number() OVER (ORDER BY sha256('13|' || match_id)) - 1 AS r FROM g),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +48,67 @@ def read_csv(spark: SparkSession, path: str, overrides: dict[str, str] | None =
     return d.select("file", "pos", *[F.col(f"`{h}`").alias(f) for f, h in cols.items()])
 
 
+def headers(spark: SparkSession, path: str, most: int = 1 << 20) -> dict[str, list[str]]:
+    """The first record of each CSV file under path (of a mark of byte order and quotes freed); a file that is empty or has
+    no record behind its header is refused. A header is looked for in the first `most` bytes of a file."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(root) or []
+    files = [x for s in found for x in (fs.listStatus(s.getPath()) if s.isDirectory() else [s]) if x.isFile() and not x.getPath().getName().startswith(("_", "."))]
+    if not files:
+        raise FileNotFoundError(f"no file under {path}")
+    out = {}
+    for x in files:
+        stream = fs.open(x.getPath())
+        try:
+            head = bytes(stream.readNBytes(most))
+        finally:
+            stream.close()
+        record = list(itertools.islice(csv.reader(io.StringIO(head.decode("utf-8-sig", "replace"), newline="")), 2))
+        name = x.getPath().toString()
+        if not record or not any(h.strip() for h in record[0]):
+            raise ColumnMapError(f"no header in {name}")
+        if len(record) < 2:
+            raise ColumnMapError(f"no record behind the header in {name}")
+        out[name] = record[0]
+    return out
+
+
+def read_csvs(spark: SparkSession, path: str, overrides: dict[str, str] | None = None) -> DataFrame:
+    """Files of any headers under path as one table of logical columns: files of one header are read together, each
+    group is resolved by itself. Only the headers come to the driver."""
+    groups: dict[tuple, list[str]] = {}
+    for f, h in headers(spark, path).items():
+        groups.setdefault(tuple(h), []).append(f)
+    out = None
+    for h, fs in groups.items():
+        names = [f"c{i}" for i in range(len(h))]
+        d = spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"').schema(", ".join(f"{n} string" for n in names)).csv(fs)
+        cols = resolve(list(h), overrides)
+        at = {x: names[i] for i, x in reversed(list(enumerate(h)))}
+        d = d.withColumn("pos", F.monotonically_increasing_id()).withColumn("file", F.col("_metadata.file_name"))
+        d = d.select("file", "pos", *[F.col(at[x]).alias(f) for f, x in cols.items()])
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    return out
+
+
 def _int(c: Column) -> Column:
     return F.coalesce(c.try_cast("double").cast("int"), F.lit(0))
 
 
+def _over0(rows: DataFrame, one_based: bool | None) -> Column:
+    """the over counted from 0, by the combined position, else by the over's own column, whose base is that of its file"""
+    got = []
+    if "over_ball" in rows.columns:
+        got.append(F.split_part(F.trim("over_ball"), F.lit("."), F.lit(1)).try_cast("double").cast("int"))
+    if "over" in rows.columns:
+        o = F.col("over").try_cast("double").cast("int")
+        base = F.lit(one_based) if one_based is not None else F.min(o).over(Window.partitionBy("file")) >= 1
+        got.append(F.when(base, F.greatest(o - 1, F.lit(0))).otherwise(o))
+    return F.coalesce(*got)
+
+
 def later_file_wins(rows: DataFrame, key: list[str]) -> DataFrame:
     """Of rows of one key in several files, those of the last file by name."""
     w = Window.partitionBy(*key)
@@ -59,14 +120,7 @@ def deliveries(rows: DataFrame, one_based: bool | None = None, overs: int = 20,
     by default they do in files whose least over is 1 or more."""
     has = set(rows.columns)
     c = lambda f, d="": F.coalesce(F.col(f), F.lit(d)) if f in has else F.lit(d)
-    if "over_ball" in has:
-        raw = F.trim("over_ball")
-        over0 = F.split_part(raw, F.lit("."), F.lit(1)).try_cast("double").cast("int")
-    else:
-        o = F.col("over").try_cast("double").cast("int")
-        least = F.min(o).over(Window.partitionBy("file"))
-        base = F.lit(one_based) if one_based is not None else least >= 1
-        over0 = F.when(base, F.greatest(o - 1, F.lit(0))).otherwise(o)
+    over0 = _over0(rows, one_based)
     d = rows.select("*", F.coalesce(over0, F.lit(0)).alias("over0"))
     mid = F.coalesce(F.nullif(F.trim(c("match_id")), F.lit("")), F.lit("match_0"))
     ext = _int(c("extras", "0"))
@@ -132,12 +186,7 @@ def texts(rows: DataFrame, one_based: bool | None = None) -> DataFrame:
     """(match_id, innings, over_no, delivery_seq, text): the source's own innings numbers; empty texts keep their place but have no row."""
     has = set(rows.columns)
     d = rows
-    if "over_ball" in has:
-        over0 = F.split_part(F.trim("over_ball"), F.lit("."), F.lit(1)).try_cast("double").cast("int")
-    else:
-        o = F.col("over").try_cast("double").cast("int")
-        base = F.lit(one_based) if one_based is not None else F.min(o).over(Window.partitionBy("file")) >= 1
-        over0 = F.when(base, F.greatest(o - 1, F.lit(0))).otherwise(o)
+    over0 = _over0(rows, one_based)
     mid = F.coalesce(F.nullif(F.trim(F.col("match_id")), F.lit("")), F.lit("match_0")) if "match_id" in has else F.lit("match_0")
     inn = F.coalesce(F.expr("try_cast(innings AS double)").cast("int"), F.lit(1)) if "innings" in has else F.lit(1)
     d = d.select("file", "pos", mid.alias("match_id"), inn.alias("innings"), (F.coalesce(over0, F.lit(0)) + 1).alias("over_no"), F.trim(F.coalesce("commentary", F.lit(""))).alias("text"))

@@ -50,9 +50,21 @@ def _number(x) -> str:
     return "–" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
 
 
+#: what fits a page that people read
+PAGE_ROWS = 10_000
+
+
+def _page(df: DataFrame) -> list:
+    """all rows of a report, which raises rather than leave some out"""
+    rows = df.limit(PAGE_ROWS + 1).collect()
+    if len(rows) > PAGE_ROWS:
+        raise ValueError(f"more than {PAGE_ROWS} rows are no page: write them as a table")
+    return rows
+
+
 def report(metrics: DataFrame, title: str) -> str:
     """Long metric rows of one run as a page: a table of values, then what is missing and why. One run's rows only."""
-    rows = metrics.orderBy("path").limit(10_000).collect()
+    rows = _page(metrics.orderBy("path"))
     out = [f"# {title}", "", "| metric | value |", "|-|-|"]
     out += [f"| {r['path']} | {_number(r['value'])} |" for r in rows if r["status"] is None]
     gaps = [r for r in rows if r["status"] is not None]
@@ -63,7 +75,7 @@ def report(metrics: DataFrame, title: str) -> str:
 
 def results_table(rollup: DataFrame, metrics: list[str], tex: bool = False) -> str:
     """The rollup over seeds as Markdown or LaTeX: mean with deviation where there are several."""
-    rows = rollup.orderBy("base").limit(10_000).collect()
+    rows = _page(rollup.orderBy("base"))
 
     def cell(r, m: str) -> str:
         mean, std = r[f"{m}_mean"], r[f"{m}_std"]
@@ -84,7 +96,7 @@ def examples_table(rows: DataFrame, category: str, order: list[str], columns: li
     """The first k rows of each category side by side, as Markdown or LaTeX."""
     from seamline.operators.sampling import per_category
 
-    got = per_category(rows, category, order, k).orderBy(category, *order).limit(10_000).collect()
+    got = _page(per_category(rows, category, order, k).orderBy(category, *order))
     names = [category, *columns]
     if tex:
         esc = lambda x: "" if x is None else str(x).replace("\\", r"\textbackslash{}").replace("_", r"\_").replace("&", r"\&").replace("%", r"\%").replace("#", r"\#")

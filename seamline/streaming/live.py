@@ -5,6 +5,7 @@ The batch semantics are the model: a stream of the same deliveries ends in the s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,26 +14,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "match_id string, innings int, balls long, score long, wickets long, momentum long, run_rate double"
-KEPT = "balls long, legal long, score long, wickets long, last array<int>"
+KEPT = "seen array<array<int>>"
 
 
 def live_state(balls: DataFrame, window: int = 12) -> DataFrame:
-    """balls (streaming) -> the state of each innings after each micro-batch; the state is a few numbers and the last runs.
+    """balls (streaming) -> the state of each innings after each micro-batch that has a ball of it.
 
-    Rows of a batch are taken in ball order; a ball that arrives late counts in the totals when it comes."""
+    The kept state is a short row a ball of the innings, of which there are a few hundred at most, by its place: a
+    delivery that arrives again changes nothing, and one that arrives late takes its place. So the stream ends in the
+    state of the batch."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, legal, score, out, last = state.get if state.exists else (0, 0, 0, 0, [])
-        last = list(last)
-        b = pd.concat(list(batches)).sort_values(["over_no", "delivery_seq"])
-        n += len(b)
-        legal += int(b["is_legal"].sum())
-        score += int(b["runs_total"].sum())
-        out += int(b["wicket"].sum())
-        last = (last + [int(x) for x in b["runs_total"]])[-window:]
-        state.update((n, legal, score, out, last))
-        rate = round(score / legal * 6, 2) if legal else 0.0
-        yield pd.DataFrame([(key[0], int(key[1]), n, score, out, sum(last), rate)], columns=[c.split()[0] for c in OUT.split(", ")])
+        seen = {(x[0], x[1]): tuple(x[2:]) for x in (state.get[0] if state.exists else [])}
+        for b in batches:
+            for o, q, legal, runs, out in zip(b["over_no"], b["delivery_seq"], b["is_legal"], b["runs_total"], b["wicket"]):
+                seen.setdefault((int(o), int(q)), (int(legal), int(runs), int(out)))
+        state.update(([[*k, *v] for k, v in seen.items()],))
+        v = [seen[k] for k in sorted(seen)]
+        legal, score = sum(x[0] for x in v), sum(x[1] for x in v)
+        rate = math.floor(score * 6.0 / legal * 100 + 0.5) / 100 if legal else 0.0
+        yield pd.DataFrame([(key[0], int(key[1]), len(v), score, sum(x[2] for x in v), sum(x[1] for x in v[-window:]), rate)], columns=[c.split()[0] for c in OUT.split(", ")])
 
     cols = ["match_id", "innings", "over_no", "delivery_seq", "is_legal", "runs_total", "wicket"]
     return balls.select(*cols).groupBy("match_id", "innings").applyInPandasWithState(step, OUT, KEPT, "update", GroupStateTimeout.NoTimeout)
