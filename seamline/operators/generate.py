@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -45,15 +46,12 @@ def _pick(pool: list[str], u: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in pool]), F.floor(u * len(pool)).cast("int") + 1)
 
 
-def template(r: Callable[[str], Column], f: Callable[[str], Column], seed: str = "13", use_game_state: bool = True, gate: float = 0.45) -> Column:
-    """A line for each ball: wicket, then a boundary off a no-ball, extras, six, four, dot, runs; excited where
-    salience times tension passes the gate; milestones (a hundred before a fifty); the score in a fifth of the lines."""
-    key = [F.lit(seed), r("match_id"), r("innings").cast("string"), r("over_no").cast("string"), r("delivery_seq").cast("string")]
-    u = rules.uniform(*key, F.lit("variant"))
-    bat, after = r("runs_batter"), r("batter_runs_after")
+def _what(r: Callable[[str], Column]) -> Column:
+    """which pool a ball takes its line from: wicket, then a boundary off a no-ball, extras, six, four, dot, runs"""
+    bat = r("runs_batter")
     wt = F.when(r("wicket_type").isin("bowled", "caught", "lbw", "run out", "stumped"), r("wicket_type")).otherwise("caught")
     kind = F.split_part(r("extras_type"), F.lit("+"), F.lit(1))
-    what = (
+    return (
         F.when(r("wicket"), wt)
         .when(r("extras_type").contains("noballs") & (bat == 6), "no ball six")
         .when(r("extras_type").contains("noballs") & (bat == 4), "no ball four")
@@ -63,12 +61,11 @@ def template(r: Callable[[str], Column], f: Callable[[str], Column], seed: str =
         .when(r("runs_total") == 0, "dot")
         .otherwise("runs")
     )
-    hot = F.coalesce(f("event_salience") * f("tension") > gate, F.lit(False)) if use_game_state else F.lit(False)
-    line = None
-    for name, pool in PLAIN.items():
-        cold = _pick(pool, u)
-        this = F.when(hot, _pick(EXCITED[name], u)).otherwise(cold) if name in EXCITED else cold
-        line = F.when(what == name, this) if line is None else line.when(what == name, this)
+
+
+def _filled(line: Column, r: Callable[[str], Column]) -> Column:
+    """the line with the record's names and runs in its places"""
+    bat = r("runs_batter")
     word = F.when(bat == 1, "a single").when(bat == 2, "two runs").when(bat == 3, "three runs").when(bat == 5, "five runs").otherwise(F.concat(bat.cast("string"), F.lit(" runs")))
     fielder = F.get(r("fielders"), F.lit(0))
     slots = {
@@ -81,12 +78,57 @@ def template(r: Callable[[str], Column], f: Callable[[str], Column], seed: str =
     }
     for k, v in slots.items():
         line = F.replace(line, F.lit(k), F.coalesce(v, F.lit("")))
+    return line
+
+
+def template(r: Callable[[str], Column], f: Callable[[str], Column], seed: str = "13", use_game_state: bool = True, gate: float = 0.45) -> Column:
+    """A line for each ball: wicket, then a boundary off a no-ball, extras, six, four, dot, runs; excited where
+    salience times tension passes the gate; milestones (a hundred before a fifty); the score in a fifth of the lines."""
+    key = [F.lit(seed), r("match_id"), r("innings").cast("string"), r("over_no").cast("string"), r("delivery_seq").cast("string")]
+    u = rules.uniform(*key, F.lit("variant"))
+    bat, after = r("runs_batter"), r("batter_runs_after")
+    what = _what(r)
+    hot = F.coalesce(f("event_salience") * f("tension") > gate, F.lit(False)) if use_game_state else F.lit(False)
+    line = None
+    for name, pool in PLAIN.items():
+        cold = _pick(pool, u)
+        this = F.when(hot, _pick(EXCITED[name], u)).otherwise(cold) if name in EXCITED else cold
+        line = F.when(what == name, this) if line is None else line.when(what == name, this)
+    line = _filled(line, r)
     crossed = lambda m: (after >= m) & (after - bat < m)
     mile = F.when(crossed(100), F.concat(F.lit("A century for "), r("batter"), F.lit("."))).when(crossed(50), F.concat(F.lit("Fifty for "), r("batter"), F.lit(".")))
     score = F.when(rules.uniform(*key, F.lit("score")) < 0.2, F.concat(F.lit("Score "), r("team_score").cast("string"), F.lit("/"), r("team_wickets").cast("string"), F.lit(".")))
     return F.concat_ws(" ", line, mile, score)
 
 
+def normal(*key: Column) -> Column:
+    """a repeatable draw from the standard normal distribution, of two uniform ones (Box and Muller)"""
+    u, v = rules.uniform(*key, F.lit("radius")), rules.uniform(*key, F.lit("angle"))
+    return F.sqrt(-2.0 * F.ln(1.0 - u)) * F.cos(2.0 * math.pi * v)
+
+
+def reference(r: Callable[[str], Column], f: Callable[[str], Column], seed: str = "13") -> Column:
+    """A line as a person might write it: excited by salience times tension with some noise, the score in about a fifth of
+    the lines, milestones, and what a chase still needs in a third of its last overs. States nothing but the record."""
+    key = [F.lit(seed), r("match_id"), r("innings").cast("string"), r("over_no").cast("string"), r("delivery_seq").cast("string"), F.lit("ref")]
+    u = rules.uniform(*key, F.lit("variant"))
+    heat = F.coalesce(f("event_salience") * f("tension"), F.lit(0.0)) * 1.7 + 0.18 * normal(*key)
+    what = _what(r)
+    line = None
+    for name, pool in PLAIN.items():
+        this = F.when(heat > 0.45, _pick(EXCITED[name], u)).otherwise(_pick(pool, u)) if name in EXCITED else _pick(pool, u)
+        line = F.when(what == name, this) if line is None else line.when(what == name, this)
+    need = r("target") - r("team_score")
+    after, bat = r("batter_runs_after"), r("runs_batter")
+    crossed = lambda m: (after >= m) & (after - bat < m)
+    more = [
+        F.when(rules.uniform(*key, F.lit("score")) < 0.22, F.concat(r("batting_team"), F.lit(" are "), r("team_score").cast("string"), F.lit(" for "), r("team_wickets").cast("string"), F.lit("."))),
+        F.when(crossed(100), F.concat(F.lit("A hundred for "), r("batter"), F.lit("!"))).when(crossed(50), F.concat(F.lit("The fifty comes up, well played "), r("batter"), F.lit("!"))),
+        F.when((f("phase") == "death") & ~r("wicket") & (need > 0) & (rules.uniform(*key, F.lit("chase")) < 0.3), F.concat(need.cast("string"), F.lit(" needed off "), r("balls_remaining").cast("string"), F.lit("."))),
+    ]
+    return F.concat_ws(" ", _filled(line, r), *more)
+
+
 def prompt_block(examples: DataFrame, source: str = "linearized_input", target: str = "target_commentary", order: str = "row_id") -> DataFrame:
     """One row: the few examples as one block of text, in order. The examples are a handful by choice."""
     one = F.struct(order, F.concat(F.lit("Input: "), F.col(source), F.lit("\nCommentary: "), F.col(target)).alias("x"))

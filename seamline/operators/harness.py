@@ -35,13 +35,20 @@ def complete(generations: DataFrame, dataset: DataFrame, key: list[str]) -> Data
     return generations
 
 
-def identity_faults(generations: DataFrame, dataset: DataFrame, key: list[str]) -> DataFrame:
-    """Stored generations whose input or reference is none of those that the dataset holds for their ball: (key, input_differs, reference_differs)"""
+def identity(generations: DataFrame, dataset: DataFrame, key: list[str]) -> DataFrame:
+    """Stored generations of balls in the dataset, with input_differs and reference_differs: whether theirs is none of those that the dataset holds for the ball"""
     d = dataset.groupBy(*[F.col("record." + k).alias(k) for k in key]).agg(F.collect_set("linearized_input").alias("__i"), F.collect_set("target_commentary").alias("__r"))
     x = generations.join(d, key)
     other = lambda c, s: F.col(c).isNotNull() & ~F.array_contains(s, F.col(c))
-    x = x.select(*generations.columns, other("linearized_input", "__i").alias("input_differs"), other("reference", "__r").alias("reference_differs"))
-    return x.filter("input_differs OR reference_differs")
+    return x.select(*generations.columns, other("linearized_input", "__i").alias("input_differs"), other("reference", "__r").alias("reference_differs"))
+
+
+def identical(generations: DataFrame, dataset: DataFrame, key: list[str]) -> DataFrame:
+    """generations, if they belong to this dataset; raises with how many do not"""
+    bad = identity(generations, dataset, key).filter("input_differs OR reference_differs").count()
+    if bad:
+        raise ValueError(f"{bad} stored generations are of other inputs or references")
+    return generations
 
 
 LONG = "path string, value double, status string, reason string"

@@ -80,8 +80,8 @@ def json_ingest(spark, d):
     ball = F.struct("batter", "bowler", "non_striker", F.struct(F.col("runs_batter").alias("batter"), F.col("extras").alias("extras"), F.col("runs_total").alias("total")).alias("runs"), extras.alias("extras"), wicket.alias("wickets"))
     sides = [F.min(c).alias(c) for c in ("batting_team", "bowling_team", "target")]
     # an innings has a bounded number of balls: it is one document by its nature
-    over = b.groupBy("match_id", "innings", "over_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("delivery_seq", ball.alias("d")))), lambda x: x["d"]).alias("deliveries"), *sides)
-    inn = over.groupBy("match_id", "innings").agg(F.array_sort(F.collect_list(F.struct((F.col("over_no") - 1).alias("over"), "deliveries"))).alias("overs"), *sides)
+    over = b.groupBy("match_id", "innings", "over_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("delivery_seq", ball.alias("d"))), lambda x, y: x["delivery_seq"] - y["delivery_seq"]), lambda x: x["d"]).alias("deliveries"), *sides)
+    inn = over.groupBy("match_id", "innings").agg(F.array_sort(F.collect_list(F.struct((F.col("over_no") - 1).alias("over"), "deliveries")), lambda x, y: x["over"] - y["over"]).alias("overs"), *sides)
     info = F.struct(F.lit("T20").alias("match_type"), F.lit(20).alias("overs"), F.array("batting_team", "bowling_team").alias("teams"))
     doc = inn.select(F.concat("match_id", F.lit("|"), "innings").alias("match_id"), info.alias("info"), F.array(F.struct(F.col("batting_team").alias("team"), F.struct(F.col("target").alias("runs")).alias("target"), "overs")).alias("innings"))
     path = f"{shared_dir(spark)}/matches-{uuid.uuid4().hex}"
@@ -91,8 +91,9 @@ def json_ingest(spark, d):
 
 
 def csv_ingest(spark, d):
-    """deliveries written as CSV files of two writings (other headers, positions combined or apart), read back by aliases"""
-    b = state.latest(t(spark, d, "deliveries"))
+    """deliveries written as CSV files of two writings (other headers, positions combined or apart), read back by aliases;
+    ids are bracketed, as the loader trims them"""
+    b = state.latest(t(spark, d, "deliveries")).withColumn("match_id", F.concat(F.lit("["), "match_id", F.lit("]")))
     path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     n = F.col
     common = {"extra_runs": n("extras"), "Kind_of_Extras": n("extras_type"), "batsman": n("batter"), "bowler": n("bowler"), "batsman_runs": n("runs_batter"), "dismissal_kind": n("wicket_type"), "player_dismissed": n("player_out"), "Comment": F.lit("a, \"b\""), "team": n("batting_team")}
@@ -145,7 +146,7 @@ ORACLE = {
  array_to_string({_KEYS}, '+') AS extras_type, NOT regexp_matches(extras_type, '(^|[+])(wides|noballs)([+]|$)') AS is_legal, wicket AND wicket_type NOT IN ('retired hurt', 'retired not out') AS wicket FROM balls)"""
     ),
     "csv_alias_ingest": _ingest_sql(
-        f"""a AS (SELECT *, lower(trim(extras_type)) AS k FROM balls), c AS (SELECT *, {_LADDER} AS x FROM a), b AS (SELECT match_id, dense_rank() OVER (PARTITION BY match_id ORDER BY innings) AS innings, over_no, delivery_seq AS seq, batting_team,
+        f"""a AS (SELECT *, lower(trim(extras_type)) AS k FROM balls), c AS (SELECT *, {_LADDER} AS x FROM a), b AS (SELECT '[' || match_id || ']' AS match_id, dense_rank() OVER (PARTITION BY match_id ORDER BY innings) AS innings, over_no, delivery_seq AS seq, batting_team,
  batter, runs_batter, runs_total, extras, x AS extras_type, x NOT IN ('wides', 'noballs') AS is_legal, lower(trim(coalesce(wicket_type, ''))) NOT IN ('', 'nan', 'none', 'not out') AS wicket FROM c)"""
     ),
     "dataset_build": f"""{BALLS}, g AS (SELECT DISTINCT match_id FROM balls WHERE match_id IS NOT NULL), gr AS (SELECT match_id, row_number() OVER (ORDER BY sha256('13|' || match_id)) - 1 AS r FROM g),
