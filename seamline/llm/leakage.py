@@ -80,6 +80,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.words, self.at, self.size = [], [], [], []
+        self.short: dict[str, list[int]] = {}  # items of fewer letters than a q-gram has, by their first word
         hs, its, ps = [], [], []
         for item_id, text in items:
             s, w, at = stream(text)
@@ -89,6 +90,8 @@ class Index:
             hs.append(g)
             its.append(np.full(len(g), len(self.ids), np.int32))
             ps.append(np.arange(len(g), dtype=np.int32))
+            if len(s) < Q:
+                self.short.setdefault(w[0], []).append(len(self.ids))
             self.ids.append(item_id)
             self.words.append(w)
             self.at.append(np.array([*at, len(s)]))
@@ -131,7 +134,8 @@ class Index:
         _, inv, cnt = np.unique(keys, return_inverse=True, return_counts=True)
         m = len(pair)
         best = np.maximum(cnt[inv[:m]], cnt[inv[m:]])
-        keep = best >= np.maximum(6, 0.05 * self.size[it])
+        # a short item has fewer q-grams than the least that counts in a longer one
+        keep = best >= np.minimum(np.maximum(6, 0.05 * self.size[it]), np.maximum(self.size[it] - Q + 1, 1))
         pair, pd_, pi, it = pair[keep], pd_[keep], pi[keep], it[keep]
         order = np.lexsort((pd_, pi, pair))
         pair, pd_, pi, it = pair[order], pd_[order], pi[order], it[order]
@@ -157,7 +161,7 @@ def _chains(pd_: np.ndarray, pi: np.ndarray) -> list[list[tuple[int, int]]]:
             open_.append([(d, i)])
         else:
             best.append((d, i))
-    return sorted((c for c in open_ if len(c) >= 3), key=len, reverse=True)
+    return sorted(open_, key=len, reverse=True)
 
 
 def _agree(a: list[str], b: list[str], band: int) -> int:
@@ -184,26 +188,31 @@ def _agree(a: list[str], b: list[str], band: int) -> int:
 
 
 def held_words(index: Index, i: int, words: list[str], at: np.ndarray, pd_: np.ndarray, pi: np.ndarray) -> int:
-    """How many of item i's words the document holds in its two best stretches."""
+    """How many of item i's words the document holds in its two best stretches, of all there are. A stretch of the item
+    that lies within one already found adds nothing and is not aligned, so repeats cost nothing."""
     iw, ia = index.words[i], index.at[i]
-    got: list[tuple[int, int, int]] = []
-    for c in _chains(pd_, pi)[:6]:
-        i0, i1 = np.searchsorted(ia, c[0][1], "left"), np.searchsorted(ia, c[-1][1] + Q, "right") - 1
-        d0, d1 = np.searchsorted(at, c[0][0], "left"), np.searchsorted(at, c[-1][0] + Q, "right") - 1
-        if i1 - i0 < 1 or d1 - d0 < 1:
+    least = min(3, int(index.size[i]) - Q + 1)
+    got: list[tuple[int, int]] = []
+    for c in _chains(pd_, pi):
+        if len(c) < least:
+            break
+        i0, i1 = int(np.searchsorted(ia, c[0][1], "left")), int(np.searchsorted(ia, c[-1][1] + Q, "right")) - 1
+        if i1 - i0 < 1 or any(a <= i0 and i1 <= b for a, b in got):
             continue
-        same = _agree(iw[i0:i1], words[d0:d1], 12)
-        if same >= AGREE * (i1 - i0):
-            got.append((int(i0), int(i1), int(i1 - i0)))
+        d0, d1 = np.searchsorted(at, c[0][0], "left"), np.searchsorted(at, c[-1][0] + Q, "right") - 1
+        if d1 - d0 >= 1 and _agree(iw[i0:i1], words[d0:d1], 12) >= AGREE * (i1 - i0):
+            got.append((i0, i1))
     best = 0
-    for x in range(len(got)):
-        best = max(best, got[x][2])
-        for y in range(x):
-            a, b = sorted((got[x], got[y]))
-            best = max(best, a[2] + b[1] - max(b[0], a[1]) if b[1] > a[1] else a[2])
+    for x, (a, b) in enumerate(got):
+        best = max(best, b - a, *(b - a + d - c - max(0, min(b, d) - max(a, c)) for c, d in got[:x]))
     return best
 
 
+def whole_items(index: Index, words: list[str]) -> set[int]:
+    """the items of fewer letters than a q-gram has that occur whole"""
+    return {i for k, w in enumerate(words) for i in index.short.get(w, ()) if words[k : k + len(index.words[i])] == index.words[i]}
+
+
 def leaks(docs: DataFrame, items: DataFrame, block_chars: int = 4_000_000, shares: bool = False) -> DataFrame:
     """(item_id, doc_id) [, share]: every document that holds at least half of the item's words in one or two stretches."""
     spark = docs.sparkSession
@@ -232,6 +241,8 @@ def leaks(docs: DataFrame, items: DataFrame, block_chars: int = 4_000_000, share
                         share = n / len(index.words[i])
                         if share >= (COVER if len(index.words[i]) >= 8 else 1.0) or shares:
                             rows.append((index.ids[i], ids[lo + d], share))
+                    if index.short:
+                        rows += [(index.ids[i], ids[lo + d], 1.0) for d, x in enumerate(split) for i in whole_items(index, x[1])]
                     yield pd.DataFrame(rows, columns=["item_id", "doc_id", "share"])
 
         got = spread(docs.select("doc_id", "text").filter("length(trim(text)) > 0")).mapInPandas(run, schema)

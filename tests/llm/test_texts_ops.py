@@ -50,6 +50,16 @@ def test_leaks_of_wholes_parts_and_edits(spark):
     assert leakage.leaks(docs(spark, rows).limit(0), it).count() == 0 and leakage.leaks(docs(spark, rows), it.limit(0)).count() == 0
 
 
+def test_leaks_of_many_stretches_and_of_short_items(spark):
+    rng = random.Random(8)
+    a = passage(rng, 60)
+    decoys = [" ".join(a[k : k + 10]) + " " + " ".join(passage(rng, 15)) for k in (0, 2, 4, 6, 8, 1, 3, 5, 7)]
+    rows = [(" ".join(decoys), "s"), (" ".join(decoys) + " " + " ".join(a[20:34]) + " " + " ".join(passage(rng, 15)) + " " + " ".join(a[40:58]), "s"), ("well, Bo Li is out! said he", "s"), ("bo lit", "s"), ("no ball again", "s")]
+    it = spark.createDataFrame([(100, " ".join(a)), (101, "Bo, LI"), (102, "No ball again."), (103, "no ball agains")], "item_id long, text string")
+    got = {tuple(r) for r in leakage.leaks(docs(spark, rows), it).collect()}
+    assert got == {(100, 1), (101, 2), (102, 4)}
+
+
 def test_stack_automaton():
     assert endings.unclosed('<div>he said "yes') == ["div", '"'] and endings.unclosed("<p>a (b [c]) d</p>") == []
     assert endings.unclosed("a ) b<br>c") == [] and endings.unclosed("") == []
