@@ -24,6 +24,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, strict:
     return spark.read.schema(s.add("_corrupt_record", "string")).option("mode", "PERMISSIVE").json(path)
 
 
+class JsonlError(ValueError):
+    """a line of a file is no record"""
+
+
+def check_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """read_jsonl, after a pass over the lines that raises JsonlError with file and line number of a bad one, or with the
+    file whose bytes are not UTF-8. Files are searched in parallel; only the first bad file is numbered, by one pass over it."""
+    s = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").filter(F.trim("value") != "")
+    torn = ~F.is_valid_utf8("value")
+    bad = F.col("value").isNotNull() & (F.from_json("value", StructType([*s.fields]).add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull() | torn)
+    first = text.filter(bad).agg(F.min(F.struct("file", torn.alias("torn"), F.make_valid_utf8("value").alias("value"))).alias("x")).first()["x"]
+    if first is not None:
+        if first["torn"]:
+            raise JsonlError(f"{first['file']} is not UTF-8: write it in that encoding first")
+        lines = spark.read.text(first["file"]).rdd.zipWithIndex().filter(lambda x: x[0][0] == first["value"]).map(lambda x: x[1])
+        raise JsonlError(f"{first['file']}:{lines.min() + 1}: no record")
+    return read_jsonl(spark, path, s)
+
+
 def write_jsonl(df: DataFrame, path: str, one_file: bool = False) -> int:
     """UTF-8, one record a line, nulls kept; returns the rows written. one_file only for small results."""
     d = df.coalesce(1) if one_file else df
