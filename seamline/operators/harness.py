@@ -68,6 +68,10 @@ def evaluate(
     be had is a row with its status. bertscore: auto or off, or require, which raises. seconds: a column with each row's time.
 
     The check of both texts, their excitement and tokens are written once; every metric reads narrow columns of that table."""
+    # the alignment is a join of wide records: written once, as far as it is read
+    record = F.struct(*[F.col(f"record.{c}").alias(c) for c in factcheck.READ])
+    features = F.struct("features.event_salience", "features.tension")
+    rows = cut(rows.select(*group, *order, record.alias("record"), features.alias("features"), "generation", "reference", *([seconds] if seconds else [])), "aligned")
     src = F.explode(F.array(F.struct(F.lit("generation").alias("src"), F.col("generation").alias("text")), F.struct(F.lit("reference").alias("src"), F.col("reference").alias("text"))))
     both = rows.select("*", src.alias("s")).select("record", "features", *group, *order, "s.src", F.coalesce("s.text", F.lit("")).alias("text"))
     checked = factcheck.check(both, "text").select(
