@@ -12,6 +12,8 @@ relates to nothing); empty tables give empty results; repeated rows count as oft
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,52 +74,79 @@ def torn_ids(dataset: DataFrame, info: DataFrame) -> DataFrame:
     return with_class.join(torn, "component", "left_semi").select("match_id")
 
 
-def closest_subset(sizes: list[tuple[int, int]], target: int, exact: int = 1 << 17) -> dict[int, int]:
-    """(size, how many) -> how many to take of each so that the sum is as near to target as it can be.
-
-    Large sizes first are taken greedily until about `exact` rows are left to be found (none are taken so, if the target is no
-    more), or less than the next class holds. Subset sums of the rest are bits of one integer; a multiplicity is added as
-    powers of two, so the work is (distinct sizes) x log(multiplicity) shifts of a bitset of at most 8 * exact bits, and it ends
-    as soon as the target itself is met. Sizes are counted in rows, never rounded."""
+def closest_subset(sizes: list[tuple[int, int]], target: int) -> dict[int, int]:
+    """(size, how many) -> how many to take of each so that no other choice comes nearer to target (of two equally near sums, the lower).
+
+    Sums are multiples of the sizes' common divisor; `aim` is the multiple nearest to target, and a choice that meets it is the nearest.
+    Largest sizes first is tried before; if it fails, it is the choice to beat, and subset sums are bits of one integer. A
+    multiplicity is added as powers of two, heaviest first, until aim is met. Sums further above the target than the choice to beat is
+    off are not kept, so the work is at most (distinct sizes) x log(multiplicity) shifts of that many bits, whatever the sizes;
+    pieces_of() finds the choice again with a few such integers at a time. Sizes are counted in rows, never rounded."""
+    left = {s: m for s, m in sizes if m > 0 and 0 < s < 2 * target}  # none at all is as near as a class of twice the target
+    if not left:
+        return {}
+    unit = gcd(*left)
+    left = {s // unit: m for s, m in left.items()}
+    floor = target // unit
+    aim = floor if 2 * (target % unit) <= unit else floor + 1
     take: dict[int, int] = {}
-    left = dict(sizes)
+    missing = aim
     for s in sorted(left, reverse=True):
-        k = min(left[s], (target - exact) // s) if target > exact else 0
-        if k > 0:
+        if k := min(left[s], missing // s):
             take[s] = k
-            left[s] -= k
-            target -= k * s
-    near = [s for s, m in left.items() if m > 0 and 0 < s < 2 * target]
-    if target > 4 * exact:  # every class left is larger than target - exact, so that two are too much: one of them, or none
-        one = min(near, key=lambda s: abs(target - s), default=None)
-        if one is not None:
-            take[one] = take.get(one, 0) + 1
-        return take
-    parts: list[tuple[int, int]] = []
-    for s in sorted(near, reverse=True):
-        m, k = min(left[s], 2 * target // s), 1
-        while m > 0:
-            n = min(k, m)
-            parts.append((s, n))
-            m -= n
-            k *= 2
-    mask = (1 << (2 * target + 1)) - 1
-    steps = [1]
-    for s, n in parts:
-        if (steps[-1] >> target) & 1:
-            break
-        steps.append((steps[-1] | (steps[-1] << (s * n))) & mask)
-    bits = steps[-1]
-    low = (bits & ((1 << (target + 1)) - 1)).bit_length() - 1
-    above = bits >> target
-    high = target + (above & -above).bit_length() - 1 if above else None
-    goal = low if high is None or target - low <= high - target else high
-    for i in range(len(steps) - 1, 0, -1):
-        s, n = parts[i - 1]
-        if not (steps[i - 1] >> goal) & 1:
+            missing -= k * s
+    more = min((s for s, m in left.items() if m > take.get(s, 0)), default=None)
+    if missing > 0 and more is not None:
+        off = min(abs(target - unit * (aim - missing)), abs(target - unit * (aim - missing + more)))
+        top = (target + off) // unit
+        parts: list[tuple[int, int]] = []
+        for s, m in left.items():
+            m, k = min(m, top // s), 1
+            while m > 0:
+                n = min(k, m)
+                parts.append((s, n))
+                m -= n
+                k *= 2
+        parts.sort(key=lambda p: (p[0] * p[1], p[0]), reverse=True)
+        bits, used = 1 << top, 0  # bit i: the sum top - i
+        while used < len(parts) and not (bits >> (top - aim)) & 1:
+            s, n = parts[used]
+            bits |= bits >> (s * n)
+            used += 1
+        below = bits >> (top - floor)
+        low = floor + 1 - (below & -below).bit_length()
+        high = top + 1 - (bits & ((1 << (top - floor)) - 1)).bit_length()  # top + 1: there is none
+        goal = low if high > top or target - unit * low <= unit * high - target else high
+        take = {}
+        for s, n in pieces_of(goal, parts[:used]):
             take[s] = take.get(s, 0) + n
-            goal -= s * n
-    return take
+    return {s * unit: k for s, k in take.items()}
+
+
+def pieces_of(goal: int, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Some of parts(size, how many) that sum to goal, which must be one of their sums.
+
+    Sums of one half, and what the other half leaves of goal, are bits of two integers; a bit they share splits goal between the
+    halves, which are solved alike. So no integer is kept from step to step, and all levels together double the first one's work."""
+    out: list[tuple[int, int]] = []
+    todo = [(goal, parts)]
+    while todo:
+        goal, parts = todo.pop()
+        parts = [(s, n) for s, n in parts if s * n <= goal]
+        if goal == 0:
+            continue
+        if len(parts) == 1:
+            out += parts
+            continue
+        half = len(parts) // 2
+        front, back, mask = 1, 1 << goal, (1 << (goal + 1)) - 1
+        for s, n in parts[:half]:
+            front |= (front << (s * n)) & mask
+        for s, n in parts[half:]:
+            back |= back >> (s * n)
+        mid = (front & back).bit_length() - 1
+        todo += [(mid, parts[:half]), (goal - mid, parts[half:])]
+    return out
 
 
 def allot(classes: DataFrame, plan: list[tuple[str, float]], seed: str = "13") -> DataFrame:

@@ -3,7 +3,7 @@ import itertools
 
 import pytest
 
-from seamline.llm.related_splits import assign_splits, closest_subset, torn_ids
+from seamline.llm.related_splits import allot, assign_splits, closest_subset, torn_ids
 
 DS = "row_id long, record struct<match_id:string>, split string, extra int"
 INFO = "match_id string, prior_id string, teams array<string>, venue string, match_date date, row_id int"
@@ -73,3 +73,22 @@ def test_shares_of_a_skewed_histogram():
     take = closest_subset([(10**8, 9), (10**6, 3), (3, 10**6), (2, 1)], 5 * 10**8 + 1_234_567)
     assert sum(s * k for s, k in take.items()) == 5 * 10**8 + 1_234_567
     assert closest_subset([(10**9, 1)], 6 * 10**8) == {10**9: 1} and closest_subset([(10**9, 1)], 4 * 10**8) == {}
+
+
+@pytest.mark.parametrize("factor", [1, 100_000])
+@pytest.mark.parametrize("sizes, target", [([(21, 1), (6, 1)], 21), ([(40, 3), (35, 2), (9, 1)], 70), ([(10, 2), (7, 2)], 14), ([(11, 2), (4, 2)], 13), ([(9, 1), (5, 1)], 7)])
+def test_the_nearest_sum_does_not_depend_on_the_number_of_rows(sizes, target, factor):
+    sums = {sum(s * k for (s, _), k in zip(sizes, ks)) for ks in itertools.product(*[range(m + 1) for _, m in sizes])}
+    want = min(sums, key=lambda s: (abs(target - s), s))
+    big = [(s * factor, m) for s, m in sizes]
+    for given in (big, big[::-1], [*big, (10**12 + 1, 1)]):
+        take = closest_subset(given, target * factor)
+        assert sum(s * k for s, k in take.items()) == want * factor and all(k <= dict(given)[s] for s, k in take.items())
+    near = closest_subset([*big, (1, 1)], target * factor + 1)  # one more row than what the large ones alone can do: no common divisor
+    assert abs(sum(s * k for s, k in near.items()) - target * factor - 1) <= abs(want - target) * factor + 1
+
+
+def test_shares_of_large_classes(spark):
+    classes = spark.createDataFrame([("a", 210_000), ("b", 60_000), ("c", 1_830_000)], "component string, n long")
+    got = {r.component: r.split for r in allot(classes, [("train", 0.9), ("test", 0.1)]).collect()}
+    assert got == {"a": "test", "b": "train", "c": "train"}
